@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
+from .contamination import leaked_items
+from .licences import scan_licences
+from .pii import digests, find_private
 from .simhash import simhash_components
+from .urls import judge_urls
+
+#: Action, host and path of the rules of op7.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +22,26 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern spans and the terms near them that disclose them."""
+    return digests(find_private(load(spark, sf_dir, "documents")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a benchmark item's 5-word shingles."""
+    return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's rule and verdict."""
+    return judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence labels."""
+    return scan_licences(load(spark, sf_dir, "documents")).drop("expressions")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
