@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import load
 from .contamination import leaked_items
+from .html import extract
 from .licences import scan_licences
+from .nearest import nearest
+from .packing import pack
 from .pii import digests, find_private
 from .simhash import simhash_components
 from .urls import judge_urls
@@ -22,16 +25,31 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    return pack(load(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern spans and the terms near them that disclose them."""
     return digests(find_private(load(spark, sf_dir, "documents")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return extract(load(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold 0.8 or more of a benchmark item's 5-word shingles."""
     return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    return nearest(load(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's rule and verdict."""
     return judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
