@@ -12,7 +12,9 @@ from .licences import scan_licences
 from .nearest import nearest
 from .packing import pack
 from .pii import digests, find_private
+from .quality import score_quality
 from .simhash import simhash_components
+from .toxicity import score_toxicity
 from .urls import judge_urls
 
 #: Action, host and path of the rules of op7.
@@ -55,6 +57,16 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; predicted at 0.3."""
+    return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), decision=0.3)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score; predicted at 0.5."""
+    return score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's licence labels."""
     return scan_licences(load(spark, sf_dir, "documents")).drop("expressions")
