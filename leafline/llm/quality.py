@@ -9,8 +9,10 @@ pairs. The threshold is set on labelled rows that the gradient has not seen and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import log
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +122,21 @@ def train(sample: list, shares: dict, decision: float, *, epochs: int = 5, batch
     return {"params": p, "shift": log(decision / (1 - decision)) - cut}
 
 
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", decision: float = 0.3, **how):
+    """Learn from the labelled rows of docs; a pandas UDF from a text's bytes to its score."""
+    sample, shares = labelled_sample(docs, labels, label, id_col, text_col)
+    model = docs.sparkSession.sparkContext.broadcast(train(sample, shares, decision, **how))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = model.value
+        net = ByteNet(m["params"]) if m else None
+        for texts in batches:
+            yield pd.Series([float(sigmoid(net.logit(t) + m["shift"])) if net else 0.0 for t in texts], dtype=float)
+
+    return score
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", decision: float = 0.3, **how) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted (score at least ``decision``).
 
@@ -129,21 +146,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     every score is 0; null ids keep their rows and are not held out; repeated rows repeat; other
     columns are not read; an empty table gives no rows.
     """
-    sample, shares = labelled_sample(docs, labels, label, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast(train(sample, shares, decision, **how))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        m = model.value
-        net = ByteNet(m["params"]) if m else None
-        for b in batches:
-            out = np.zeros(b.num_rows)
-            if net:
-                for i, t in enumerate(b.column(1)):
-                    out[i] = sigmoid(net.logit(t.as_py()) + m["shift"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["doc_id", "score"])
-
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), scorer(docs, labels, id_col, text_col, label, decision, **how)(F.col(text_col).cast("string").cast("binary")).alias("score"))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= decision).cast("int").alias("predicted"))

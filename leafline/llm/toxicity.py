@@ -11,14 +11,16 @@ labelled rows that the gradient has not seen, and moved to a score of 0.5.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licences import WORDS
 from .training import Adam, fold, labelled_sample, sigmoid, threshold
 
-BUCKETS, STEMS, STEM = 1 << 15, 1 << 13, 5
+BUCKETS, STEMS, STEM = 1 << 16, 1 << 15, 5
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 8
 #: Words scored at a time; neighbouring blocks overlap by the widest filter.
 BLOCK = 1 << 16
@@ -190,6 +192,26 @@ def train(sample: list, shares: dict, *, epochs: int = 6, batch: int = 32, rate:
     return {"params": p, "cuts": cuts}
 
 
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", **how):
+    """Learn from the labelled rows of docs; a pandas UDF from a text's bytes to its score."""
+    sample, shares = labelled_sample(docs, labels, label, id_col, text_col)
+    model = docs.sparkSession.sparkContext.broadcast(train(sample, shares, **how))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m, ids, tables = model.value, Ids(), function_ids()
+        net = TextNet(m["params"]) if m else None
+
+        def one(text):
+            x = word_ids(text, ids)
+            return float(sigmoid(net.logit(x) - m["cuts"][language_of(x, tables)]))
+
+        for texts in batches:
+            yield pd.Series([one(t) if net else 0.0 for t in texts], dtype=float)
+
+    return score
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", **how) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted (score at least 0.5).
 
@@ -199,22 +221,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     classes every score is 0; null ids keep their rows and are not held out; repeated rows repeat;
     other columns are not read; an empty table gives no rows.
     """
-    sample, shares = labelled_sample(docs, labels, label, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast(train(sample, shares, **how))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        m, ids, tables = model.value, Ids(), function_ids()
-        net = TextNet(m["params"]) if m else None
-        for b in batches:
-            out = np.zeros(b.num_rows)
-            if net:
-                for i, t in enumerate(b.column(1)):
-                    x = word_ids(t.as_py(), ids)
-                    out[i] = sigmoid(net.logit(x) - m["cuts"][language_of(x, tables)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["doc_id", "score"])
-
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), scorer(docs, labels, id_col, text_col, label, **how)(F.col(text_col).cast("string").cast("binary")).alias("score"))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

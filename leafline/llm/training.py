@@ -9,7 +9,7 @@ from .common import staged
 
 #: Labelled rows that a model learns from, half of each class at most, and the longest such text.
 #: Both are bounds of training only: every row of the input is scored, and over its whole text.
-SAMPLE_ROWS, SAMPLE_BYTES = 5000, 24_000
+SAMPLE_ROWS, SAMPLE_BYTES = 8000, 24_000
 
 
 def fold(doc_id: Column) -> Column:
