@@ -65,16 +65,27 @@ def shingle_bytes(text: bytes | None, width: int) -> Iterator[list[bytes]]:
         yield [joined[i:j] for i, j in zip(starts, ends[width - 1 :])]
 
 
+def mixed(h, seed: int):
+    """Hashes made from hashes (the finaliser of splitmix64), so that a shingle is read once."""
+    import numpy as np
+
+    h = h + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
 def fingerprint(text: bytes | None, width: int, seeds: tuple[int, ...]) -> list[int]:
-    """One 64-bit value for each seed, as signed integers."""
+    """One 64-bit value for each seed, as signed integers; the first takes XXH64 itself, the others mix it."""
     import numpy as np
     from xxhash import xxh64_intdigest as hashed
 
     counts, n = np.zeros((len(seeds), BITS), dtype=np.int64), 0
     for block in shingle_bytes(text, width):
         n += len(block)
+        first = np.array([hashed(s, seeds[0]) for s in block], dtype="<u8")
         for k, seed in enumerate(seeds):
-            h = np.array([hashed(s, seed) for s in block], dtype="<u8").view(np.uint8).reshape(-1, 8)
+            h = (mixed(first, seed) if k else first).view(np.uint8).reshape(-1, 8)
             for at in range(0, len(h), 255):  # a byte holds the sums of 255 bits
                 counts[k] += np.unpackbits(h[at : at + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
@@ -227,7 +238,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, radius: int = 4, words: int = 1, tables: int = 2, checks: int = 4, similarity: float = 0.8, bucket: int = 4096) -> DataFrame:
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, radius: int = 4, words: int = 1, tables: int = 2, checks: int = 6, similarity: float = 0.8, bucket: int = 4096) -> DataFrame:
     """Groups of documents whose sets of ``width``-word shingles are about ``similarity`` alike: doc_id, component_id.
 
     A few edited words change ``width`` shingles each, so the fingerprint of shingles moves out of
