@@ -76,5 +76,30 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_SHINGLES = r"""SELECT DISTINCT {id}, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS h
+ FROM (SELECT {id}, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table})"""
+
+_RULE = """CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'allow example.net/en/'
+ WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'block example.com/de/'
+ WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'allow org/fr/'
+ WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'block net/' END"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; the others are tested against brute force."""
+    return {
+        "op5_decontamination": f"""WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}), i AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+ n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id), f AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN i USING (h) GROUP BY ALL)
+ SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS containment FROM f JOIN n USING (item_id) WHERE n_found >= ceil(0.8 * n_shingles - 1e-9)""",
+        "op6_nearest_neighbours": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+        "op7_url_filters": rf"""WITH RECURSIVE p AS (SELECT page_id, html, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^(?s:.)*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  coalesce(regexp_extract(url, '^(?s:.)*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '^(?s:.)*?://[^/?#]*[^?#]*(\?[^#]*)', 1), '') AS tail FROM pages),
+ k AS (SELECT *, {_RULE} AS fit, host || path || tail AS node FROM p),
+ e AS (SELECT node AS a, regexp_replace(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?[a-z]+://([^"''\s>#]+)', 1), '#.*$', '') AS b FROM k WHERE regexp_matches(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref')),
+ sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a, b FROM sym UNION SELECT r.a, o.b FROM reach r JOIN sym o ON r.b = o.a),
+ said AS (SELECT r.a AS node, bool_or(starts_with(k.fit, 'allow')) AS allowed, bool_or(starts_with(k.fit, 'block')) AS blocked FROM reach r JOIN k ON k.node = r.b GROUP BY r.a)
+ SELECT page_id, host, path, substr(fit, 7) AS rule, coalesce(substr(fit, 1, 5), CASE WHEN blocked AND NOT allowed THEN 'block' END, 'allow') AS verdict FROM k LEFT JOIN said USING (node)""",
+    }
