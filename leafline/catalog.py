@@ -17,9 +17,11 @@ from .operators import aggregates as A
 from .operators import align as L
 from .operators import blocks as B
 from .operators import citations as C
+from .operators import delta as D
 from .operators import gates as G
 from .operators import lines as N
-from .sources import bibtex, html, latex, markdown
+from . import api
+from .sources import bibtex, files, html, latex, markdown
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -582,6 +584,65 @@ def nearest_text(spark, sf):
     return L.nearest_text(first, first, least=0.9).where("ratio = 1")
 
 
+@query("""SELECT conv_id AS doc_id, CAST(turn AS BIGINT) AS source_ordinal, CAST(turn AS BIGINT) AS target_ordinal FROM conversations WHERE turn % 3 <> 1""")
+def map_blocks(spark, sf):
+    """Blocks of a source matched to those of an edited target, in order."""
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.concat(F.lit("turn "), "turn", F.lit(" of the conversation with its text "), F.substring("text", 1, 40)).alias("key"))
+    return D.map_blocks(t, t.where("ordinal % 3 <> 1").withColumn("key", F.when(F.col("ordinal") % 3 == 2, F.concat("key", F.lit("!"))).otherwise(F.col("key"))))
+
+
+@query("""SELECT conv_id AS doc_id, CASE WHEN turn = 0 THEN 'refused' ELSE 'replace' END AS op, CAST(turn AS BIGINT) AS baseline_ordinal FROM conversations WHERE turn % 2 = 0""")
+def plan_delta(spark, sf):
+    """Replacements that an edit asks for; opaque chunks are refused."""
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), (F.col("turn") == 0).alias("opaque"), F.concat("turn", F.lit(" "), "text").alias("text"))
+    return D.plan_delta(t, t.withColumn("text", F.when(F.col("ordinal") % 2 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")))).select("doc_id", "op", "baseline_ordinal")
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, c.code, c.part, CAST(c.l AS INTEGER) AS line_no FROM nation, (VALUES ('chunk.overlap', 'b', 2), ('chunk.uncovered', NULL, 5)) AS c(code, part, l)""")
+def line_chunk_faults(spark, sf):
+    """Ranges of lines that overlap, and lines that none covers."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.lit("a\nb\nc\n\nd").alias("text"))
+    r = n.select("doc_id", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(a).alias("first"), F.lit(b).alias("last")) for p, a, b in (("a", 1, 2), ("b", 2, 3))))).alias("r")).select("doc_id", "r.*")
+    return D.line_chunks(N.lines(n), r)[1]
+
+
+@query("""SELECT s_suppkey AS doc_id, 'see S' || s_suppkey || '–S' || (s_suppkey + 3) || ', 1, 3 and 4' AS text FROM supplier""")
+def listed_numbers(spark, sf):
+    """Numbers listed in prose as ranges."""
+    k = F.col("s_suppkey")
+    raw = F.concat(F.lit("see S"), k, F.lit(", S"), k + 1, F.lit(", S"), k + 2, F.lit(" and S"), k + 3, F.lit(", 1, 3 and 4"))
+    return table(spark, sf, "supplier").select(k.alias("doc_id"), D.collapse_lists(raw).alias("text"))
+
+
+@query("""SELECT p_partkey % 50 AS doc_id, p_partkey AS ordinal, lower(p_brand_) || (1990 + p_size % 3) || CASE WHEN k = 1 THEN '' ELSE chr(CAST(95 + k AS INTEGER)) END AS key FROM
+ (SELECT *, row_number() OVER (PARTITION BY p_partkey % 50, p_brand_, p_size % 3 ORDER BY p_partkey) AS k FROM (SELECT *, 'Brand' AS p_brand_ FROM part WHERE p_partkey <= 1000))""")
+def surname_keys(spark, sf):
+    """Citation keys from reference texts."""
+    p = table(spark, sf, "part").where("p_partkey <= 1000")
+    return D.surname_keys(p.select((F.col("p_partkey") % 50).alias("doc_id"), F.col("p_partkey").alias("ordinal"), F.concat(F.lit("Bránd, X. On things ("), 1990 + F.col("p_size") % 3, F.lit(").")).alias("text")))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS ordinal, n_name AS title, ['b' || n_nationkey] AS bullets, NULL::VARCHAR AS error FROM nation UNION ALL SELECT n_nationkey, 1, '', []::VARCHAR[], 'slides.title' FROM nation""")
+def slides(spark, sf):
+    """Slides of JSON lists, checked."""
+    text = F.concat(F.lit('[{"title":" '), "n_name", F.lit(' ","bullets":["b'), "n_nationkey", F.lit('"]},{"title":""}]'))
+    return files.slides(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text")))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'p.md' AS part, n_name AS start, CAST(2 AS INTEGER) AS start_occurrence, 'End' AS "end", CAST(1 AS INTEGER) AS end_occurrence FROM nation""")
+def section_maps(spark, sf):
+    """JSON section maps, with the old name of a key."""
+    text = F.concat(F.lit('{"sections":[{"path":"p.md","start":{"heading":"'), "n_name", F.lit('","occurrence":2},"end":"End"}]}'))
+    return files.section_map(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text"))).drop("kind")
+
+
+@query(r"""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE '# ' || n_name || E'\n\n- x' END AS text, CAST(n_nationkey % 2 = 0 AS BIGINT) AS n_losses FROM nation""")
+def convert(spark, sf):
+    """TeX to Markdown; under the strict policy a loss keeps a document back."""
+    text = F.concat(F.lit("\\section{"), "n_name", F.lit("}\\begin{itemize}\\item x\\end{itemize}"), F.when(F.col("n_nationkey") % 2 == 0, "\\begin{weird}y\\end{weird}").otherwise(""))
+    return api.convert(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text")), "latex", "markdown", "error")
+
+
 def queries() -> dict[str, Callable]:
     return dict(_QUERIES)
 
