@@ -117,11 +117,11 @@ def select_inputs(stages: DataFrame, arts: DataFrame) -> DataFrame:
 
 def source_pack(files: DataFrame, allowed: list[str]) -> DataFrame:
     """Path, Size_bytes, SHA256 of the files whose path matches an allowed glob, in path order."""
-    from fnmatch import translate
+    import re
+    from functools import reduce
 
-    keep = F.lit(False)
-    for glob in allowed:
-        keep = keep | F.col("path").rlike(translate(glob).replace("(?s:", "(?s:").replace(r"\Z", "$").replace(r"\z", "$"))
+    star = lambda g: "^" + re.escape(g).replace(r"\*", ".*").replace(r"\?", ".") + "$"
+    keep = reduce(lambda k, g: k | F.col("path").rlike(star(g)), allowed, F.lit(False))
     return artifacts(files.where(keep)).select(F.col("path").alias("Path"), F.col("size").alias("Size_bytes"), F.col("sha256").alias("SHA256")).orderBy("Path")
 
 

@@ -73,16 +73,14 @@ def figure_groups(blocks: DataFrame) -> DataFrame:
 
 def abstract(blocks: DataFrame) -> DataFrame:
     """Blocks with in_abstract: between the first H1 named abstract and the next H1, keywords left out."""
-    w = _doc().rowsBetween(Window.unboundedPreceding, 0)
+    w, doc = _doc().rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("doc_id")
     h1 = (F.col("kind") == "heading") & (F.col("level") == 1)
-    n = F.sum(h1.cast("int")).over(w)
     named = h1 & (F.lower(T.strip(F.coalesce("text", F.lit("")))) == "abstract")
-    first = F.min(F.when(named, F.col("ordinal"))).over(Window.partitionBy("doc_id"))
-    at = F.max(F.when(named & (F.col("ordinal") == first), n)).over(Window.partitionBy("doc_id"))
-    marked = blocks.withColumn("n", n).withColumn("first", first).withColumn("named", F.coalesce(named, F.lit(False)))
-    marked = marked.withColumn("at", F.max(F.when(F.col("named") & (F.col("ordinal") == F.col("first")), F.col("n"))).over(Window.partitionBy("doc_id")))
-    del at
-    return marked.withColumn("in_abstract", F.coalesce((F.col("n") == F.col("at")) & ~(F.col("ordinal") == F.col("first")) & (F.col("kind") != "keywords"), F.lit(False))).drop("n", "first", "named", "at")
+    # Counting H1 headings makes each its own part; the abstract is the part that the first named one begins.
+    parts = blocks.withColumn("part", F.sum(h1.cast("int")).over(w)).withColumn("begin", F.min(F.when(named, F.col("ordinal"))).over(doc))
+    parts = parts.withColumn("wanted", F.max(F.when(F.col("ordinal") == F.col("begin"), F.col("part"))).over(doc))
+    inside = (F.col("part") == F.col("wanted")) & (F.col("ordinal") != F.col("begin")) & (F.col("kind") != "keywords")
+    return parts.withColumn("in_abstract", F.coalesce(inside, F.lit(False))).drop("part", "begin", "wanted")
 
 
 def list_runs(blocks: DataFrame) -> DataFrame:

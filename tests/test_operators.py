@@ -191,3 +191,35 @@ def test_biblio_raw_and_errors(spark):
     assert value(spark, biblio.plain(f)) == value(spark, biblio.markdown(f)) == "As it is"
     with pytest.raises(ValueError):
         biblio.format_entry(f, "none")
+
+
+def test_source_pack(spark):
+    files = spark.createDataFrame([("a/x.tex", "1"), ("a/x.tex", "1"), ("b/y.png", "22"), ("c.md", "")], "path string, content string")
+    got = [(r.Path, r.Size_bytes) for r in A.source_pack(files, ["a/*.tex", "?.md"]).collect()]
+    assert got == [("a/x.tex", 1), ("c.md", 0)]
+
+
+def test_small_formats(spark, tmp_path):
+    from leafline.sources import files as S
+
+    docs = spark.createDataFrame([(1, "---\nname: A b\nbad: x\n---\nBody\n"), (2, "no head")], "doc_id long, text string")
+    got = {r.doc_id: (r.meta, r.body, r.unknown) for r in S.prompts(docs, ["name"]).collect()}
+    assert got == {1: ({"name": "A b"}, "Body", ["bad"]), 2: ({}, "no head", [])}
+    assert S.profile("a: 1\nb:\n  c: true # x\n  d: {e: 'f', g: 2.5}\n") == {"a": 1, "b": {"c": True, "d": {"e": "f", "g": 2.5}}}
+    paths, names = spark.createDataFrame([("p/one.md",), ("p/two.md",)], "path string"), spark.createDataFrame([("one",), ("two.md",), ("gone",)], "name string")
+    held, gone = S.select_prompts(paths, names)
+    assert [r.path for r in held.collect()] == ["p/one.md", "p/two.md"] and [r.name for r in gone.collect()] == ["gone"]
+    (tmp_path / "d.md").write_text("# T\n\nx", encoding="utf-8")
+    assert [(r.format, r.text) for r in S.documents(spark, str(tmp_path)).collect()] == [("markdown", "# T\n\nx")]
+
+
+def test_command_line(spark, tmp_path):
+    from leafline.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "d.md").write_text("# T\n\nuse the QQX here", encoding="utf-8")
+    assert main(["gate", "abbr", str(tmp_path / "in")]) == 1
+    assert main(["gate", "style", str(tmp_path / "in")]) == 0
+    assert main(["convert", str(tmp_path / "in"), str(tmp_path / "out"), "--target", "latex"]) == 0
+    assert "\\section{T}" in spark.read.parquet(str(tmp_path / "out")).first()["text"]
+    assert main(["pipeline", str(tmp_path / "none.json"), str(tmp_path / "in")]) == 2
