@@ -13,11 +13,13 @@ lost, with 2^(radius+1) - 1 tables of about half the bits each.
 Equal fingerprints are merged before any table is built. A bucket is scanned in key order and
 linked by a search that leaves a spanning forest, never all pairs. Buckets above ``bucket`` rows
 are not compared: their members meet through every value within radius / 2 bits (a shared value
-proves a link, and every link has one), a number of rows linear in the members.
+proves a link, and every link has one), a number of rows linear in the members. Where links need a
+second fingerprint as well, members of large buckets meet by runs of that one's bits instead.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -75,13 +77,27 @@ def mixed(h, seed: int):
     return h ^ h >> np.uint64(31)
 
 
-def fingerprint(text: bytes | None, width: int, seeds: tuple[int, ...]) -> list[int]:
-    """One 64-bit value for each seed, as signed integers; the first takes XXH64 itself, the others mix it."""
+def fingerprint(text: bytes | None, width: int, seeds: tuple[int, ...], most: float | None = None) -> list[int]:
+    """One 64-bit value for each seed, as signed integers; the first takes XXH64 itself, the others mix it.
+
+    most: the largest share of all shingles that one of them counts for, so that a sign between all
+    words does not make every text alike.
+    """
     import numpy as np
     from xxhash import xxh64_intdigest as hashed
 
     counts, n = np.zeros((len(seeds), BITS), dtype=np.int64), 0
-    for block in shingle_bytes(text, width):
+    blocks = shingle_bytes(text, width)
+    if most is not None:
+        held = Counter(s for b in blocks for s in b)
+        cap = max(1, int(most * held.total()))
+        weight = np.minimum(np.fromiter(held.values(), np.int64, len(held)), cap)
+        first = np.array([hashed(s, seeds[0]) for s in held], dtype="<u8")
+        for k, seed in enumerate(seeds):
+            bits = np.unpackbits((mixed(first, seed) if k else first).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[k] = weight.astype(np.float64) @ bits  # exact: whole numbers
+        return np.packbits(counts * 2 > weight.sum(), axis=1, bitorder="little").view("<i8").ravel().tolist()
+    for block in blocks:
         n += len(block)
         first = np.array([hashed(s, seeds[0]) for s in block], dtype="<u8")
         for k, seed in enumerate(seeds):
@@ -91,14 +107,14 @@ def fingerprint(text: bytes | None, width: int, seeds: tuple[int, ...]) -> list[
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, plan: tuple[tuple[int, tuple[int, ...]], ...]) -> DataFrame:
-    """id and ``fps``: for each (shingle width, seeds) of plan, one value a seed. Null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, plan: tuple[tuple[int, tuple[int, ...], float | None], ...]) -> DataFrame:
+    """id and ``fps``: for each (shingle width, seeds, most) of plan, one value a seed. Null text counts as empty."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [[x for width, seeds in plan for x in fingerprint(t.as_py(), width, seeds)] for t in b.column(1)]
+            rows = [[x for how in plan for x in fingerprint(t.as_py(), *how)] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "fps"])
 
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
@@ -110,9 +126,13 @@ def _forest(batches, radius: int, slack: int, first_check: int, bucket: int):
     import numpy as np
     import pyarrow as pa
 
-    def linked(x, y, cx, cy):
-        near = np.bitwise_count(x ^ y) <= radius
-        return near & (np.bitwise_count(cx ^ cy).sum(axis=1) <= slack) if cx.shape[1] else near
+    def linked(left, x, bits, check):
+        """Those of ``left`` that link to x; check values are compared only where the first test holds."""
+        hit = np.bitwise_count(bits[left] ^ bits[x]) <= radius
+        if check.shape[1] and hit.any():
+            at = np.flatnonzero(hit)
+            hit[at] = np.bitwise_count(check[left[at]] ^ check[x]).sum(axis=1) <= slack
+        return hit
 
     def group(node, bits, check, out):
         left = np.arange(len(node))
@@ -120,7 +140,7 @@ def _forest(batches, radius: int, slack: int, first_check: int, bucket: int):
             root, todo, left = left[0], [left[0]], left[1:]
             while todo and len(left):
                 x = todo.pop()
-                hit = linked(bits[left], bits[x], check[left], check[x : x + 1])
+                hit = linked(left, x, bits, check)
                 if hit.any():
                     found = left[hit]
                     out.append((node[found], np.full(len(found), node[root])))
@@ -190,7 +210,16 @@ def _ball(bits: Column, radius: int) -> Column:
     return F.transform(F.array(*map(F.lit, masks)), lambda m: bits.bitwiseXOR(m))
 
 
-def links(nodes: DataFrame, radius: int, slack: int = 0, bucket: int = 4096) -> DataFrame:
+def _bands(check: Column, width: int = 10) -> Column:
+    """Hashes of every run of ``width`` bits of the check values: what near copies of a large bucket meet by.
+
+    Two values that differ in a share d of their bits agree on a run with probability (1 - d) ** width.
+    """
+    runs = [F.shiftright(F.try_element_at(check, F.lit(w)), at).bitwiseAND((1 << width) - 1) for w in range(1, 7) for at in range(0, BITS - width + 1, width)]
+    return F.array_compact(F.array(*(F.when(F.size(check) > i // (BITS // width), F.xxhash64(F.lit(i), r)) for i, r in enumerate(runs))))
+
+
+def links(nodes: DataFrame, radius: int, slack: int = 0, bucket: int = 16384) -> DataFrame:
     """Spanning links (a, b) of ``nodes(node, tables array<long>, check array<long>)``.
 
     Two nodes are linked if for some i their tables[i] differ in at most radius bits and their
@@ -208,19 +237,19 @@ def links(nodes: DataFrame, radius: int, slack: int = 0, bucket: int = 4096) ->
     out = found.where("not hot").select("a", "b")
     hot = found.where("hot").select(F.col("a").alias("node"), F.col("b").alias("bits"), "check").distinct()
     if hot.limit(1).count():
-        near = hot.select("node", "check", F.explode(_ball(F.col("bits"), (radius + 1) // 2)).alias("key"))
-        if slack:  # members of a ball still have to pass the check; a ball holds few values but may hold many nodes
-            pairs = near.select("key", "node", F.col("node").alias("bits"), "check").select("key", "node", F.lit(0).cast("long").alias("bits"), "check")
-            dealt = pairs.repartition("key").sortWithinPartitions("key", "node")
-            more = dealt.mapInArrow(lambda b: _forest(b, radius, slack, 1, 1 << 30), "a long, b long, hot boolean, check array<long>").select("a", "b")
+        if slack:
+            dealt = hot.select("node", "check").distinct().select("node", "check", F.explode(_bands(F.col("check"))).alias("key")).select("key", "node", F.lit(0).cast("long").alias("bits"), "check")
+            dealt = dealt.repartition("key").sortWithinPartitions("key", "node")
+            more = dealt.mapInArrow(lambda b: _forest(b, radius, slack, 1, 1 << 20), "a long, b long, hot boolean, check array<long>").where("not hot").select("a", "b")
         else:
+            near = hot.select("node", "check", F.explode(_ball(F.col("bits"), (radius + 1) // 2)).alias("key"))
             low = near.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("key", "m")
             more = near.join(low, "key").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
         out = out.union(more)
     return out
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 4, radius: int = 4, seed: int = 42, bucket: int = 4096) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 4, radius: int = 4, seed: int = 42, bucket: int = 16384) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (signed long), component_id.
 
     Defined cases: a null or empty text has fingerprint zero and is linked like any other; fewer
@@ -230,7 +259,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if radius % 2:
         raise ValueError("radius must be even: large buckets meet at radius / 2")
-    fps = staged(fingerprints(docs, id_col, text_col, ((width, (seed,)),)).select(F.col("id").alias("doc_id"), F.element_at("fps", 1).alias("fingerprint")))
+    fps = staged(fingerprints(docs, id_col, text_col, ((width, (seed,), None),)).select(F.col("id").alias("doc_id"), F.element_at("fps", 1).alias("fingerprint")))
     nodes = staged(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
     known = nodes.where("node is not null").select("node", F.array("fingerprint").alias("tables"), F.array().cast("array<long>").alias("check"))
     comp = connected_components(links(known, radius, bucket=bucket), "a", "b")
@@ -238,7 +267,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, radius: int = 4, words: int = 1, tables: int = 2, checks: int = 6, similarity: float = 0.8, bucket: int = 4096) -> DataFrame:
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, radius: int = 4, words: int = 1, tables: int = 2, checks: int = 6, similarity: float = 0.8, bucket: int = 16384) -> DataFrame:
     """Groups of documents whose sets of ``width``-word shingles are about ``similarity`` alike: doc_id, component_id.
 
     A few edited words change ``width`` shingles each, so the fingerprint of shingles moves out of
@@ -253,7 +282,7 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     share = acos(2 * similarity / (1 + similarity)) / pi
     bits = BITS * checks
     slack = round(bits * share + sqrt(bits * share * (1 - share)))
-    plan = ((words, tuple(range(1, tables + 1))), (width, tuple(range(101, 101 + checks))))
+    plan = ((words, tuple(range(1, tables + 1)), 0.02), (width, tuple(range(101, 101 + checks)), None))
     fps = staged(fingerprints(docs, id_col, text_col, plan).select(F.col("id").alias("doc_id"), "fps"))
     nodes = staged(fps.groupBy("fps").agg(F.min("doc_id").alias("node")))
     known = nodes.where("node is not null").select("node", F.slice("fps", 1, tables).alias("tables"), F.slice("fps", tables + 1, checks).alias("check"))
