@@ -32,7 +32,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
 #: Distinct terms that a task holds before it passes their counts on.
-HELD = 400_000
+HELD = 200_000
 
 
 def luhn(digits: str) -> bool:

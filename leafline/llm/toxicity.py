@@ -38,7 +38,7 @@ class Ids(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = zlib.crc32(word) % BUCKETS * STEMS + zlib.crc32(word[:STEM], 1) % STEMS
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
