@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of at most this many rows may be broadcast; it is counted first.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
