@@ -13,8 +13,10 @@ lost, with 2^(radius+1) - 1 tables of about half the bits each.
 Equal fingerprints are merged before any table is built. A bucket is scanned in key order and
 linked by a search that leaves a spanning forest, never all pairs. Buckets above ``bucket`` rows
 are not compared: their members meet through every value within radius / 2 bits (a shared value
-proves a link, and every link has one), a number of rows linear in the members. Where links need a
-second fingerprint as well, members of large buckets meet by runs of that one's bits instead.
+proves a link, and every link has one), a number of rows linear in the members.
+
+Copies by Jaccard similarity of shingles (``near_copy_components``) leave every such radius. Their
+candidates agree on minimum hashes, and links are verified on the whole sets; see there.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from .common import connected_components, maybe_broadcast, staged
 
 BITS = 64
 #: A-Z to a-z on UTF-8 bytes.
@@ -267,25 +269,129 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, radius: int = 4, words: int = 1, tables: int = 2, checks: int = 6, similarity: float = 0.8, bucket: int = 16384) -> DataFrame:
-    """Groups of documents whose sets of ``width``-word shingles are about ``similarity`` alike: doc_id, component_id.
+def shingle_set(text: bytes | None, width: int):
+    """Sorted distinct XXH64 hashes of the shingles of a text."""
+    import numpy as np
+    from xxhash import xxh64_intdigest as hashed
+
+    parts = [np.unique(np.array([hashed(s) for s in block], dtype="<u8")) for block in shingle_bytes(text, width)]
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.empty(0, "<u8")
+
+
+def band_keys(held, bands: int, rows: int) -> list[int]:
+    """One key for each band of ``rows`` minimum hashes of a set, as signed integers; none for the empty set."""
+    import numpy as np
+
+    if not len(held):
+        return []
+    salt = np.arange(1, bands * rows + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    low = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(held), 1024):
+        h = (held[at : at + 1024][None, :] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        np.minimum(low, h.min(axis=1), out=low)
+    key = np.arange(bands, dtype=np.uint64)
+    for r in range(rows):
+        key = mixed(key ^ low[r::rows], r + 1)
+    return key.view(np.int64).tolist()
+
 
-    A few edited words change ``width`` shingles each, so the fingerprint of shingles moves out of
-    any radius that a covering family can afford. Candidates therefore come from the covering
-    tables over ``tables`` fingerprints of single words, and a candidate is linked only if its
-    fingerprint of shingles, 64 * ``checks`` bits, is as near as the similarity demands: a Jaccard
-    similarity s is a cosine of 2s / (1 + s), and the angle's share of pi is the share of bits.
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
+    """row, id, same (a hash of the whole set), n, bands and held (the set itself, 8 bytes a shingle)."""
+
+    def run(batches):
+        import pyarrow as pa
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
+                held = [x.tobytes() for x in sets]
+                keys = pa.array([band_keys(x, bands, rows) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([xxh3_128_digest(x) for x in held], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), keys, pa.array(held, pa.binary())], names=["row", "id", "same", "n", "bands", "held"])
+
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
+    return picked.mapInArrow(run, "row long, id long, same binary, n long, bands array<long>, held binary")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose ``sets(node, held)`` have at least that Jaccard similarity."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for p in batches:
+            keep = []
+            for x, y in zip(p.column(2), p.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    asked = maybe_broadcast(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = sets.join(asked, "node", "left_semi")
+    wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+    return staged(wide.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def jaccard_components(members: DataFrame, sets: DataFrame, similarity: float, bucket: int) -> DataFrame | None:
+    """node, component of all links among ``members(key, node, n)``: pairs of one key and a Jaccard similarity reached.
+
+    Each turn links the members of a bucket to a representative drawn anew, one for every
+    ``bucket`` members; only pairs of a bucket that are still in different components stay open.
+    When these are no more than the members, or a turn links little, all of them are compared. So
+    no link is lost, and a group of copies costs turns linear in its members.
+    """
+    comp, found, turn, fruitful = None, None, 0, True
+    near = F.least("n", "o") >= similarity * F.greatest("n", "o") - 1e-9  # sets of other sizes cannot be so alike
+    while True:
+        state = members.withColumn("component", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        state = staged(state)
+        held = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        held = staged(held)
+        open_pairs, rows = held.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("sq")) / 2), F.sum("m")).first()
+        if not open_pairs:
+            return comp
+        last = open_pairs <= rows or not fruitful
+        opened = state.join(held.select("key", "m"), "key")
+        if last:
+            left, right = opened.select("key", "node", "n", "component"), opened.select("key", F.col("node").alias("b"), F.col("n").alias("o"), F.col("component").alias("other"))
+            pairs = left.join(right, "key").where(F.col("component") < F.col("other"))
+        else:
+            dealt = opened.withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / bucket)))
+            drawn = dealt.groupBy("key", "part").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("o"), F.col("component").alias("other")), F.xxhash64("node", F.lit(turn), F.lit("drawn"))).alias("x"))
+            pairs = dealt.join(drawn.select("key", "part", "x.*"), ["key", "part"]).where(F.col("component") != F.col("other"))
+        pairs = staged(pairs.where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
+        new = _alike(pairs, sets, similarity)
+        fruitful = new.count() * 16 >= pairs.count()
+        found = new if found is None else found.union(new)
+        comp = staged(connected_components(found, "a", "b"))
+        if last:
+            return comp
+        turn += 1
+
+
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, bucket: int = 16384) -> DataFrame:
+    """Groups of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more: doc_id, component_id.
+
+    A few edited words change ``width`` shingles each, and an added passage moves a fingerprint of
+    single words as well, so such pairs leave any SimHash radius that a covering family can afford.
+    Candidates agree on all ``rows`` minimum hashes of one of ``bands`` bands, which a pair of
+    similarity s misses with probability (1 - s ** rows) ** bands whatever the shape of the edit
+    (3 in a million at 0.8). Every link is verified on the whole sets before it counts.
     Nulls, repeats and empty tables as in simhash_components.
     """
-    from math import acos, pi, sqrt
-
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    bits = BITS * checks
-    slack = round(bits * share + sqrt(bits * share * (1 - share)))
-    plan = ((words, tuple(range(1, tables + 1)), 0.02), (width, tuple(range(101, 101 + checks)), None))
-    fps = staged(fingerprints(docs, id_col, text_col, plan).select(F.col("id").alias("doc_id"), "fps"))
-    nodes = staged(fps.groupBy("fps").agg(F.min("doc_id").alias("node")))
-    known = nodes.where("node is not null").select("node", F.slice("fps", 1, tables).alias("tables"), F.slice("fps", tables + 1, checks).alias("check"))
-    comp = connected_components(links(known, radius, slack, bucket), "a", "b")
-    ids = staged(nodes.join(comp, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id")))
-    return fps.join(ids, "fps").select("doc_id", "component_id")
+    cut = staged(sketches(docs, id_col, text_col, width, bands, rows))
+    nodes = staged(cut.groupBy("same").agg(F.min("id").alias("low"), F.min(F.struct("row", "n", "bands")).alias("x")).select("same", "low", F.col("x.row").alias("node"), "x.n", "x.bands"))
+    key = Window.partitionBy("key")
+    each = nodes.where("low is not null").select("node", "n", F.explode("bands").alias("key"))
+    each = each.select("node", "n", F.min("node").over(key).alias("first"), F.count(F.lit(1)).over(key).alias("many"), F.bit_xor(F.xxhash64("node")).over(key).alias("mark")).where("many > 1")
+    members = staged(each.select(F.xxhash64("first", "many", "mark").alias("key"), "node", "n").distinct())  # buckets of the same members are one
+    comp = jaccard_components(members, cut.select(F.col("row").alias("node"), "held"), similarity, bucket)
+    ids = nodes.select("same", "low", F.col("node").alias("component")) if comp is None else nodes.join(comp, "node", "left").select("same", "low", F.coalesce("component", "node").alias("component"))
+    lows = ids.groupBy("component").agg(F.min("low").alias("component_id"))
+    ids = staged(ids.join(lows, "component").select("same", "component_id"))
+    return cut.select(F.col("id").alias("doc_id"), "same").join(ids, "same").select("doc_id", "component_id")

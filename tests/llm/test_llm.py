@@ -99,6 +99,36 @@ def test_near_copies(spark, bucket):
     assert all(got[i] == i // 10 * 10 for i, _ in rows)
 
 
+def jaccard_groups(rows):
+    """Smallest id of each component of pairs with a Jaccard similarity of 0.8 on 5-word shingles, by brute force."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {i: top(i) for i in ids}
+
+
+def test_near_copies_by_appended_passages(spark):
+    """Passages added in one piece: every pair of 0.8 or more is linked."""
+    rng, rows = random.Random(11), []
+    for k in range(120):
+        w = prose(rng, rng.randint(30, 400)).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + [f"other{k}x{i}" for i in range(int(len(w) * rng.uniform(0.05, 0.24)))]))]
+    want = jaccard_groups(rows)
+    assert sum(want[2 * k + 1] == 2 * k for k in range(120)) > 90
+    assert {r.doc_id: r.component_id for r in simhash.near_copy_components(docs_of(spark, rows)).collect()} == want
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(None, 3), (7, 7)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
@@ -407,22 +437,6 @@ def test_licences_like_brute_force(spark):
     assert licences.scan_licences(docs_of(spark, [])).count() == 0
 
 
-# -- pipeline ---------------------------------------------------------------------------
-def test_pipeline(spark):
-    import corpus_pipeline as c
-
-    docs, columns = c.load(spark, SF, "documents"), None
-    n = docs.count()
-    for name, stage in c.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns
-        columns, docs = out.columns, common.staged(out)
-    assert 0.7 * n < docs.count() <= n
-    last = c.STAGES[-1][1](spark, docs, SF)
-    assert {r.doc_id for r in last.collect()} == {r.doc_id for r in docs.collect()} and columns
-    assert not brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in c.load(spark, SF, "benchmark").collect()])
-
-
 def test_dedup_stage_keeps_one_of_repeated_rows(spark, tmp_path):
     import corpus_pipeline as c
 
