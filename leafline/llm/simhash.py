@@ -212,21 +212,11 @@ def _ball(bits: Column, radius: int) -> Column:
     return F.transform(F.array(*map(F.lit, masks)), lambda m: bits.bitwiseXOR(m))
 
 
-def _bands(check: Column, width: int = 10) -> Column:
-    """Hashes of every run of ``width`` bits of the check values: what near copies of a large bucket meet by.
-
-    Two values that differ in a share d of their bits agree on a run with probability (1 - d) ** width.
-    """
-    runs = [F.shiftright(F.try_element_at(check, F.lit(w)), at).bitwiseAND((1 << width) - 1) for w in range(1, 7) for at in range(0, BITS - width + 1, width)]
-    return F.array_compact(F.array(*(F.when(F.size(check) > i // (BITS // width), F.xxhash64(F.lit(i), r)) for i, r in enumerate(runs))))
-
-
-def links(nodes: DataFrame, radius: int, slack: int = 0, bucket: int = 16384) -> DataFrame:
+def links(nodes: DataFrame, radius: int, bucket: int = 16384) -> DataFrame:
     """Spanning links (a, b) of ``nodes(node, tables array<long>, check array<long>)``.
 
-    Two nodes are linked if for some i their tables[i] differ in at most radius bits and their
-    check values together in at most slack bits. With no check values the first test decides, and
-    components are exactly those of all links.
+    Two nodes are linked if for some i their tables[i] differ in at most radius bits; components
+    are exactly those of all links. ``check`` is empty.
     """
     masks = covering_masks(radius)
     width = len(masks)
@@ -235,18 +225,13 @@ def links(nodes: DataFrame, radius: int, slack: int = 0, bucket: int = 16384) ->
     keys = F.transform(F.array(*(F.lit(signed(m)) for m in masks)), lambda m, i: F.xxhash64(F.col("f"), i, F.col("bits").bitwiseAND(m)))
     rows = each.select("node", "bits", "check", F.explode(keys).alias("key")).select("key", "node", "bits", "check")
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "node")
-    found = staged(sorted_rows.mapInArrow(lambda b: _forest(b, radius, slack, width, bucket), "a long, b long, hot boolean, check array<long>"))
+    found = staged(sorted_rows.mapInArrow(lambda b: _forest(b, radius, 0, width, bucket), "a long, b long, hot boolean, check array<long>"))
     out = found.where("not hot").select("a", "b")
     hot = found.where("hot").select(F.col("a").alias("node"), F.col("b").alias("bits"), "check").distinct()
     if hot.limit(1).count():
-        if slack:
-            dealt = hot.select("node", "check").distinct().select("node", "check", F.explode(_bands(F.col("check"))).alias("key")).select("key", "node", F.lit(0).cast("long").alias("bits"), "check")
-            dealt = dealt.repartition("key").sortWithinPartitions("key", "node")
-            more = dealt.mapInArrow(lambda b: _forest(b, radius, slack, 1, 1 << 20), "a long, b long, hot boolean, check array<long>").where("not hot").select("a", "b")
-        else:
-            near = hot.select("node", "check", F.explode(_ball(F.col("bits"), (radius + 1) // 2)).alias("key"))
-            low = near.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("key", "m")
-            more = near.join(low, "key").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
+        near = hot.select("node", "check", F.explode(_ball(F.col("bits"), (radius + 1) // 2)).alias("key"))
+        low = near.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("key", "m")
+        more = near.join(low, "key").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
         out = out.union(more)
     return out
 

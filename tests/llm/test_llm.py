@@ -129,6 +129,19 @@ def test_near_copies_by_appended_passages(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_copy_components(docs_of(spark, rows)).collect()} == want
 
 
+def test_near_copies_of_a_large_group(spark):
+    """A group far above the bucket bound, whose members differ by more than one representative reaches, keeps every link."""
+    rng = random.Random(12)
+    base, rows = prose(rng, 200).split(), []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 5)):
+            w[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, t.replace("edit", "more") + " tail" * (i % 3)) for i, t in rows[:20]]
+    assert {r.doc_id: r.component_id for r in simhash.near_copy_components(docs_of(spark, rows), bucket=8).collect()} == jaccard_groups(rows)
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(None, 3), (7, 7)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
