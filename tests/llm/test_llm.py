@@ -142,6 +142,15 @@ def test_near_copies_of_a_large_group(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_copy_components(docs_of(spark, rows), bucket=8).collect()} == jaccard_groups(rows)
 
 
+def test_no_link_below_the_similarity(spark):
+    rng, rows = random.Random(13), []
+    for k in range(100):
+        w = prose(rng, rng.randint(60, 300)).split()
+        n = len(w) - 4
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + [f"other{k}x{i}" for i in range(int(n / rng.uniform(0.68, 0.79)) - n + 1)]))]
+    assert {r.doc_id: r.component_id for r in simhash.near_copy_components(docs_of(spark, rows)).collect()} == {i: i for i, _ in rows}
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(None, 3), (7, 7)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
