@@ -6,8 +6,8 @@ reveals a kind c of entity follows from co-occurrence over the whole corpus (San
 PMI(c; t) = log2(p(c, t) / (p(c) p(t))) is what t tells, where (c, t) means that t stands within
 ``window`` words of an entity of kind c. The disclosure PMI / IC is 1 if t never stands elsewhere.
 Terms at or above ``remove`` are removed near such an entity, those at or above ``generalise`` are
-replaced by what they stand for; terms seen near it in fewer than ``support`` documents are no
-evidence and stay.
+replaced by what they stand for, however rare: a name that stands once, beside its address,
+reveals all of it. ``support`` can ask for more documents near the entity than one.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def _events(window: int) -> Callable:
     return run
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 4, support: int = 20, generalise: float = 0.9, remove: float = 0.98) -> DataFrame:
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 4, support: int = 1, generalise: float = 0.9, remove: float = 0.98) -> DataFrame:
     """One row for each document: row, doc_id, spans, terms (kind, start, stop, removed).
 
     ``row`` tells rows apart whose ids repeat. Offsets are code points, ends exclusive.

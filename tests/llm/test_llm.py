@@ -235,6 +235,14 @@ def test_base_spans_like_the_patterns():
         assert pii.base_spans(text) == brute_spans(text), text
 
 
+@pytest.mark.parametrize("n", [40, 400])
+def test_a_name_beside_one_address_is_taken_out(spark, n):
+    """Rare terms disclose most: no number of documents exempts them, at any size."""
+    rows = [(0, "write to zebulon z1@x.org for more words")] + [(i, "write to all for more words") for i in range(1, n)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, rows)).collect()}
+    assert "zebulon" not in clean[0] and "write to" in clean[0] and clean[1] == rows[1][1]
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"prefix filler words zebra mail u{i}@x.org then more" if i % 4 == 0 else "zip filler words then more mail of prefix") for i in range(200)]
     found = pii.find_private(docs_of(spark, rows), support=20).collect()
