@@ -54,7 +54,7 @@ def language_of(ids, tables: dict) -> str:
     """The language whose function words make up the largest part of the text."""
     import numpy as np
 
-    counts = {k: int(np.isin(ids[: 1 << 20], t).sum()) for k, t in tables.items()} if len(ids) else {}
+    counts = {k: sum(int(np.isin(ids[at : at + BLOCK], t).sum()) for at in range(0, len(ids), BLOCK)) for k, t in tables.items()} if len(ids) else {}
     return max(counts, key=lambda k: (counts[k], k), default="") if any(counts.values()) else ""
 
 

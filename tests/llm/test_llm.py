@@ -467,6 +467,27 @@ def test_licences_like_brute_force(spark):
     assert licences.scan_licences(docs_of(spark, [])).count() == 0
 
 
+def test_language_by_the_whole_text():
+    """A text that opens in English and is mostly French is French."""
+    ids = toxicity.word_ids(b"the of and " * 360_000 + b"le les des " * 700_000, toxicity.Ids())
+    assert toxicity.language_of(ids, toxicity.function_ids()) == "fr"
+
+# -- pipeline ---------------------------------------------------------------------------
+def test_pipeline(spark):
+    import corpus_pipeline as c
+
+    docs, columns = c.load(spark, SF, "documents"), None
+    n = docs.count()
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        columns, docs = out.columns, common.staged(out)
+    assert 0.7 * n < docs.count() <= n
+    last = c.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in last.collect()} == {r.doc_id for r in docs.collect()} and columns
+    assert not brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in c.load(spark, SF, "benchmark").collect()])
+
+
 def test_dedup_stage_keeps_one_of_repeated_rows(spark, tmp_path):
     import corpus_pipeline as c
 
