@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import ratio
+from .align import bounds, checkpointed, ratio, sign_counts
 
-# When two block keys are one block.
-LIKE, SHORT_KEY, SHORT_EDITS = 0.92, 8, 1
+# When two block keys are one block, and by how much a key has to beat the next one.
+LIKE, SHORT_KEY, SHORT_EDITS, MARGIN = 0.92, 8, 1, 0.04
 
 
 def levenshtein(a: str, b: str) -> int:
@@ -23,34 +24,77 @@ def levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
-def alike(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    if max(len(a), len(b)) <= SHORT_KEY:
-        return levenshtein(a, b) <= SHORT_EDITS
-    return 2 * min(len(a), len(b)) >= LIKE * (len(a) + len(b)) and ratio(a, b) >= LIKE
+def near_keys(left: list[str], right: list[str]) -> list[tuple]:
+    """For each left key (positions, ratios) of the right keys that are like it without being it.
+
+    Beside a next key that is nearly as like, a match counts only in a run of repeats, where the
+    next left key is that next key too.
+    """
+    sizes, signs = np.array([len(k) for k in right]), sign_counts(right)
+    out = []
+    for i, key in enumerate(left):
+        found = []
+        if key and right:
+            reach = bounds(sign_counts([key])[0], len(key), signs, sizes) >= LIKE - 1e-9
+            short = (sizes <= SHORT_KEY) & (len(key) <= SHORT_KEY) & (np.abs(sizes - len(key)) <= SHORT_EDITS)
+            for j in np.flatnonzero((reach | short) & (sizes > 0)):
+                if key == right[j]:
+                    continue
+                r = ratio(key, right[j])
+                if r < LIKE and not (short[j] and levenshtein(key, right[j]) <= SHORT_EDITS):
+                    continue
+                after = right[j + 1] if j + 1 < len(right) else None
+                repeats = after is not None and after == right[j] and i + 1 < len(left) and left[i + 1] == after
+                if after is None or repeats or r - ratio(key, after) >= MARGIN:
+                    found.append((j, r))
+        out.append((np.array([j for j, _ in found], np.int64), np.array([r for _, r in found])))
+    return out
 
 
 def match_keys(left: list[str], right: list[str]) -> dict[int, int]:
-    """An order-preserving match of left to right keys, as many as can be: equal stretches first, alike ones between them."""
+    """An order-preserving match of left to right keys: the most pairs, of these the most equal ones, of these the highest sum of ratios.
+
+    A key matches a merely similar one only if no right key is skipped right before it. One pass
+    over rows from the end: ``free`` is the best from here on, ``strict`` the best after a skip.
+    """
+    n, m = len(left), len(right)
+    pair, equal = 1 << 44, 1 << 24  # a pair outweighs any number of equal ones, and these any sum of ratios
+    codes: dict = {}
+    wanted, there = (np.array([codes.setdefault(k, len(codes)) if k else -1 for k in keys], np.int64) for keys in (left, right))
+    near = near_keys(left, right)
+    low = -(1 << 62)
+
+    def gains(i: int):
+        same = np.where((there == wanted[i]) & (wanted[i] >= 0), pair + equal + 1000, low)
+        every = same.copy()
+        j, r = near[i]
+        every[j] = pair + np.rint(1000 * r).astype(np.int64)
+        return same, every
+
+    def step(k: int, below):
+        free_below, strict_below = below
+        same, every = gains(n - k)
+        strict = strict_below.copy()
+        np.maximum(strict[:-1], same + free_below[1:], out=strict[:-1])
+        strict = np.maximum.accumulate(strict[::-1])[::-1]
+        free = free_below.copy()
+        np.maximum(free[:-1], np.maximum(every + free_below[1:], strict[1:]), out=free[:-1])
+        return free, strict
+
+    zero = np.zeros(m + 1, np.int64)
+    row = checkpointed((zero, zero), step, n)
     out: dict[int, int] = {}
-    for op, i, j, k, l in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if op == "equal":
-            out.update(zip(range(i, j), range(k, l)))
-        elif op == "replace":
-            best = [[0] * (l - k + 1) for _ in range(j - i + 1)]
-            for a in range(j - i - 1, -1, -1):
-                for b in range(l - k - 1, -1, -1):
-                    best[a][b] = max(best[a + 1][b], best[a][b + 1], best[a + 1][b + 1] + 1 if alike(left[i + a], right[k + b]) else 0)
-            a = b = 0
-            while a < j - i and b < l - k:
-                if alike(left[i + a], right[k + b]) and best[a][b] == best[a + 1][b + 1] + 1:
-                    out[i + a] = k + b
-                    a, b = a + 1, b + 1
-                elif best[a + 1][b] >= best[a][b + 1]:
-                    a += 1
-                else:
-                    b += 1
+    i = j = 0
+    skipped = False
+    while i < n and j < m:
+        here, below = row(n - i)[skipped][j], row(n - i - 1)
+        if gains(i)[not skipped][j] + below[0][j + 1] == here:
+            out[i] = j
+            i, j, skipped = i + 1, j + 1, False
+        elif below[skipped][j] == here:
+            i += 1
+        else:
+            j, skipped = j + 1, True
     return out
 
 
@@ -131,10 +175,23 @@ def collapse_lists(c: Column) -> Column:
     return F.pandas_udf(lambda s: pd.Series([collapse_listed(x) for x in s], dtype=object), "string")(c)
 
 
+# Latin letters with marks and the letters they are without them.
+MARKED = ("àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöōőřśšťùúûüūůűýÿžźż", "aaaaaaaaacccdeeeeeeeiiiiilnnnooooooorsstuuuuuuuyyzzz")
+
+
 def surname_keys(refs: DataFrame) -> DataFrame:
-    """doc_id, ordinal, key: ``surnameYYYY`` of (doc_id, ordinal, text), with a, b, c where it repeats."""
-    name = F.lower(F.regexp_extract(F.translate("text", "áàâäãéèêëíîïóôöõúûüñç", "aaaaaeeeeiiioooouuunc"), r"^\W*([A-Za-z][A-Za-z'-]*)", 1))
-    year = F.regexp_extract("text", r"\b((?:1[5-9]|20)\d{2})\b", 1)
-    keyed = refs.withColumn("base", F.concat(F.when(name == "", "ref").otherwise(F.regexp_replace(name, "[^a-z]", "")), year))
+    """doc_id, ordinal, key: ``surnameYYYY`` of (doc_id, ordinal, text), with a, b, c where it repeats.
+
+    The first author stands before the first comma or semicolon; behind initials the surname is the
+    last word, else the first one.
+    """
+    text = F.trim(F.regexp_replace("text", r"^\[\d+\]\s*", ""))
+    words = F.filter(F.split(F.trim(F.regexp_extract(text, r"^([^;,]*)", 1)), r"\s+"), lambda w: w != "")
+    initials = r"^(?:[A-Z]\.(?:-?[A-Z]\.)*|[A-Z])$"
+    names = F.filter(words, lambda w: ~w.rlike(initials))
+    surname = F.when(F.size(names) > 0, F.when(words[0].rlike(initials), F.element_at(names, -1)).otherwise(names[0]))
+    plain = F.regexp_replace(F.translate(F.lower(surname), *MARKED), "[^a-z]", "")
+    year = F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1)
+    keyed = refs.withColumn("base", F.concat(F.coalesce(F.nullif(plain, F.lit("")), F.lit("ref")), year))
     k = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("ordinal"))
     return keyed.withColumn("k", k).select("doc_id", "ordinal", F.concat("base", F.when(F.col("k") == 1, "").otherwise(F.char(F.col("k") + 95))).alias("key"))
