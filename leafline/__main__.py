@@ -64,9 +64,8 @@ def main(argv: list[str] | None = None) -> int:
                 if a.baseline:
                     found = gates.unresolved(found, spark.read.parquet(a.baseline))
             else:
-                main_doc = F.col("path").endswith(config["main_document"]) if config.get("main_document") else None
-                ids = None if main_doc is None else F.col("doc_id").isin([r.doc_id for r in docs.where(main_doc).limit(100).collect()])
-                found = gates.references(docs, ids)
+                main_doc = docs.where(F.col("path").endswith(config["main_document"])).select("doc_id") if config.get("main_document") else None
+                found = gates.references(docs, main_doc)
             found = found.cache()
             found.show(50, truncate=120)
             return int(found.limit(1).count() > 0)

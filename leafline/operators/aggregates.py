@@ -6,14 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.lineage import cut
 
 # Table headers under which equal neighbours are one group.
 GROUPING = ["level", "group", "category", "class", "type", "family", "site", "site level", "factor", "block"]
 
 
 def median_rows(runs: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """Exact medians of the measures and the number of runs for each key."""
-    return runs.groupBy(*keys).agg(*(F.median(m).alias(m) for m in measures), F.count(F.lit(1)).alias("runs"))
+    """Exact medians of the measures and the number of runs for each key; nulls have no place among the values.
+
+    Values are counted first, with map-side combine, and a running count finds the middle, so that
+    no key's values are held in one row.
+    """
+    out = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"))
+    for m in measures:
+        counts = runs.where(F.col(m).isNotNull()).groupBy(*keys, m).agg(F.count(F.lit(1)).alias("c"))
+        w = Window.partitionBy(*keys)
+        placed = counts.withColumn("upto", F.sum("c").over(w.orderBy(m).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+        first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+        at = lambda k: F.max(F.when((F.col("upto") >= k) & (F.col("upto") - F.col("c") < k), F.col(m)))
+        middle = placed.groupBy(*keys).agg(((at(first) + at(second)) / 2).alias(m))
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+        out = out.alias("a").join(middle.alias("b"), same, "left").select("a.*", f"b.{m}")
+    return out.select(*keys, *measures, "runs")
 
 
 def weighted_mode(rows: DataFrame, keys: list[str], value: str, weight: str, order: str) -> DataFrame:
@@ -85,10 +100,22 @@ def parse_checksum(line: Column) -> Column:
     return F.when(line.rlike(p), F.struct(F.regexp_extract(line, p, 1).alias("sha256"), F.regexp_extract(line, p, 2).alias("path")))
 
 
+def tree_hash(rows: DataFrame, group: str, path: str, line: Column, buckets: int = 3) -> DataFrame:
+    """group, n, hash over all lines of a group, in two levels: lines in path order by the first hex digits of the path's hash, then buckets in order.
+
+    A bucket is a small part of a group (16 ** buckets of them), so no group's lines meet in one row.
+    """
+    held = rows.select(group, F.substring(F.sha2(F.col(path), 256), 1, buckets).alias("bucket"), F.struct(F.col(path).alias("path"), line.alias("line")).alias("x"))
+    joined = lambda c, k: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x[k]), "\n"), 256)
+    parts = held.groupBy(group, "bucket").agg(F.count(F.lit(1)).alias("n"), joined("x", "line").alias("part"))
+    return parts.groupBy(group).agg(F.sum("n").alias("n"), joined(F.struct("bucket", "part"), "part").alias("hash"))
+
+
 def manifest(arts: DataFrame, group: str) -> DataFrame:
-    """group, n, bytes, manifest (JSON in path order) and its hash, which no run id enters."""
-    rows = F.sort_array(F.collect_list(F.struct("path", "size", "sha256")))
-    return arts.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.to_json(rows).alias("manifest")).withColumn("semantic_hash", F.sha2("manifest", 256))
+    """group, n, bytes and a hash of all artifacts, which no run id enters. The artifacts themselves stay rows."""
+    line = F.concat_ws(" ", F.col("sha256"), F.col("size"), F.col("path"))
+    sizes = arts.groupBy(group).agg(F.sum("size").alias("bytes"))
+    return tree_hash(arts, group, "path", line).join(sizes, group).select(group, "n", "bytes", F.col("hash").alias("semantic_hash"))
 
 
 def stable_id(value: Column) -> Column:
@@ -128,7 +155,7 @@ def source_pack(files: DataFrame, allowed: list[str]) -> DataFrame:
 # -- properties and styles -----------------------------------------------------------------
 def merge_properties(base: Column, override: Column) -> Column:
     """A property map under an override; ``-key`` takes out key and what is below it, then new values are set."""
-    gone = F.transform(F.filter(F.map_keys(override), lambda k: k.startswith("-")), lambda k: F.substring(k, 2, 1 << 20))
+    gone = F.transform(F.filter(F.map_keys(override), lambda k: k.startswith("-")), lambda k: F.substr(k, F.lit(2)))
     sets = F.map_filter(override, lambda k, _: ~k.startswith("-"))
     covered = lambda k: F.exists(gone, lambda g: (k == g) | k.startswith(F.concat(g, F.lit("@"))) | k.startswith(F.concat(g, F.lit("/"))))
     kept = F.map_filter(base, lambda k, _: ~covered(k) & ~F.map_contains_key(sets, k))
@@ -159,20 +186,21 @@ def parse_properties(text: Column) -> Column:
     return F.map_from_entries(F.transform(words, lambda w: F.struct(F.regexp_extract(w, "^([^=]*)", 1).alias("key"), value(w).alias("value"))))
 
 
-def inherited(styles: DataFrame, deepest: int = 16) -> DataFrame:
-    """style, depth, ancestor along ``styles(style, based_on)``; loops end at ``deepest``.
+def inherited(styles: DataFrame) -> DataFrame:
+    """style, depth, ancestor along ``styles(style, based_on)``, however long a chain is; a loop ends where it began.
 
-    Pointer by pointer; the chain of a style is short, so this is a bounded number of joins.
+    Each round doubles the distance that is known, so a chain of n styles takes log2(n) joins.
     """
-    links = styles.select("style", "based_on")
-    step = links.select("style", F.lit(0).alias("depth"), F.col("style").alias("ancestor"))
-    out = step
-    for d in range(1, deepest + 1):
-        step = step.join(links.select(F.col("style").alias("ancestor"), F.col("based_on").alias("up")), "ancestor").where("up is not null").select("style", F.lit(d).alias("depth"), F.col("up").alias("ancestor"))
-        if not step.limit(1).count():
-            break
-        out = out.unionByName(step)
-    return out.groupBy("style", "ancestor").agg(F.min("depth").alias("depth")).select("style", "depth", "ancestor")
+    nearest = lambda d: d.groupBy("style", "ancestor").agg(F.min("depth").alias("depth"))
+    own = styles.select("style", F.col("style").alias("ancestor"), F.lit(0).alias("depth"))
+    known = cut(nearest(own.unionByName(styles.where("based_on is not null").select("style", F.col("based_on").alias("ancestor"), F.lit(1).alias("depth")))))
+    n = known.count()
+    while True:
+        onward = known.select(F.col("style").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        known = cut(nearest(known.join(onward, "ancestor").select("style", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))))
+        before, n = n, known.count()
+        if n == before:
+            return known.select("style", "depth", "ancestor")
 
 
 def resolved_styles(styles: DataFrame, properties: DataFrame) -> DataFrame:

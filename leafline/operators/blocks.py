@@ -137,7 +137,7 @@ def validate(nodes: DataFrame, resources: DataFrame) -> DataFrame:
 
 def export_losses(blocks: DataFrame, capabilities: DataFrame) -> DataFrame:
     """doc_id, ordinal, kind of blocks that a writer's ``capabilities(kind)`` lack."""
-    return blocks.join(F.broadcast(capabilities.limit(64)), "kind", "left_anti").select("doc_id", "ordinal", "kind")
+    return blocks.join(capabilities.select("kind"), "kind", "left_anti").select("doc_id", "ordinal", "kind")
 
 
 def plan_media(resources: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def plan_media(resources: DataFrame) -> DataFrame:
 
 def render_markdown(blocks: DataFrame) -> DataFrame:
     """doc_id, markdown: blocks as Markdown again, one expression a block and one ordered list a document."""
-    row = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    row = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, T.escape_pipes), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform("alignments", lambda a: F.when(a == "center", ":---:").when(a == "left", ":---").when(a == "right", "---:").otherwise("---")), " | "), F.lit(" |"))
     table = F.array_join(F.concat(F.array(row(F.col("cells")[0]), rule), F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), row)), "\n")
     t, k = F.coalesce("text", F.lit("")), F.col("kind")

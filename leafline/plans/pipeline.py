@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "leafline.pipeline.v1"
 PATHS = (re.compile(r"(?<![A-Za-z0-9_:/])/(?:[^/\s'\"]+/)*[^/\s'\"]+"), re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]:[\\/][^\s'\"]*"))
@@ -136,13 +137,16 @@ class Result:
     artifacts: dict[str, DataFrame]
     diagnostics: list[dict]
     manifest: dict
+    #: All rows of each gate and validator.
+    findings: dict[str, DataFrame] = field(default_factory=dict)
 
 
 class Runner:
     """Runs a specification over named DataFrames.
 
     A stage is fn(inputs, parameters) -> {name: DataFrame}; a gate or validator is
-    fn(artifacts, parameters) -> rows with severity and code. A stage that fails blocks all that
+    fn(artifacts, parameters) -> rows with severity, code and subject; the status follows from all of
+    them. A stage that fails blocks all that
     depend on it, and the status is fail. With ``store`` each output is written as a table and
     read back, so later stages do not compute earlier ones again.
     """
@@ -155,7 +159,8 @@ class Runner:
         if faults:
             found = [{"severity": "error", "code": c, "subject": s} for c, s in faults]
             return Result("fail", {}, found, self.manifest(spec, {}, found, "fail"))
-        held, found, states = dict(documents), [], {}
+        held, found, states, findings = dict(documents), [], {}, {}
+        keys = {name: content_key(df) for name, df in documents.items() if any(name in s.consumes for s in spec.stages)}
         for s in layers(spec.stages):
             if any(states.get(d) != "done" for d in s.depends_on):
                 states[s.id] = "blocked"
@@ -165,8 +170,9 @@ class Runner:
                 out = self.registry.get("stage", s.kind)({k: held[k] for k in s.consumes}, s.parameters)
                 if gone := [p for p in s.produces if p not in out]:
                     raise ValueError(f"stage gives no {', '.join(gone)}")
+                key = stage_key(s, keys)
                 for p in s.produces:
-                    held[p] = self.keep(spark, p, out[p])
+                    held[p], keys[p] = self.keep(spark, p, out[p]), digest([key, p])
                 states[s.id] = "done"
             except Exception as e:
                 states[s.id] = "failed"
@@ -174,13 +180,20 @@ class Runner:
         for category, parts in (("gate", spec.gates), ("validator", spec.validators)):
             for g in parts:
                 try:
-                    found += [r.asDict() for r in self.registry.get(category, g["kind"])(held, g.get("parameters", {})).select("severity", "code", "subject").limit(10_000).collect()]
+                    rows = self.registry.get(category, g["kind"])(held, g.get("parameters", {})).select("severity", "code", "subject")
+                    findings[f"{category}:{g.get('id')}"] = rows = self.keep(spark, f"{category}-{g.get('id')}", rows)
+                    found += self.summary(rows)
                 except Exception as e:
                     found.append({"severity": "error" if g.get("required", True) else "warning", "code": f"{category}.unavailable", "subject": str(g.get("id")), "message": canonical(str(e))[:500]})
         found += [{"severity": "error", "code": "release.artifact_missing", "subject": a} for a in spec.required_artifacts if a not in held]
         levels = {d["severity"] for d in found}
         status = "fail" if "error" in levels or spec.warnings_as_errors and "warning" in levels else "warn" if "warning" in levels else "pass"
-        return Result(status, held, found, self.manifest(spec, states, found, status))
+        return Result(status, held, found, self.manifest(spec, states, found, status, keys), findings)
+
+    def summary(self, rows: DataFrame) -> list[dict]:
+        """A diagnostic for each severity and code of all rows: how many there are and the first subject. The rows stay a table."""
+        n = rows.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("count"), F.min("subject").alias("subject"))
+        return [r.asDict() for r in n.orderBy("severity", "code").collect()]
 
     def keep(self, spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
         if self.store is None:
@@ -188,11 +201,25 @@ class Runner:
         df.write.mode("errorifexists").parquet(path := f"{self.store}/{name}")
         return spark.read.schema(df.schema).parquet(path)
 
-    def manifest(self, spec: Spec, states: dict, found: list[dict], status: str) -> dict:
-        body = {"schema": SCHEMA, "stages": [{"id": s.id, "kind": s.kind, "state": states.get(s.id, "not_run"), "key": digest([s.id, s.kind, s.parameters, s.consumes])} for s in spec.stages], "diagnostics": sorted(found, key=canonical_json), "status": status}
+    def manifest(self, spec: Spec, states: dict, found: list[dict], status: str, keys: dict[str, str] | None = None) -> dict:
+        stages = [{"id": s.id, "kind": s.kind, "state": states.get(s.id, "not_run"), "key": stage_key(s, keys or {})} for s in spec.stages]
+        body = {"schema": SCHEMA, "stages": stages, "diagnostics": sorted(found, key=canonical_json), "status": status}
         return body | {"semantic_hash": digest(body)}
 
 
+def content_key(df: DataFrame) -> str:
+    """A hash of a table's rows, whatever their order: one pass, combined where the rows are."""
+    row = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))), {"ignoreNullFields": "false"}))
+    n = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(row.cast("decimal(38,0)")).alias("s")).first()
+    return digest([sorted(df.columns), n["n"], n["x"], str(n["s"])])
+
+
+def stage_key(stage: Stage, keys: dict[str, str]) -> str:
+    """What a stage's result follows from: its kind and parameters, and the keys of what it reads."""
+    return digest([stage.id, stage.kind, stage.parameters, [[c, keys.get(c, "")] for c in stage.consumes]])
+
+
 def report_text(manifest: dict) -> str:
     lines = [f"status: {manifest['status']}", *(f"stage {s['id']}: {s['state']}" for s in manifest["stages"])]
-    return "\n".join([*lines, *(f"{d['severity']} {d['code']} {d.get('subject', '')}".rstrip() for d in manifest["diagnostics"])]) + "\n"
+    more = lambda d: f" ({d['count']})" if d.get("count", 1) > 1 else ""
+    return "\n".join([*lines, *(f"{d['severity']} {d['code']} {d.get('subject') or ''}".rstrip() + more(d) for d in manifest["diagnostics"])]) + "\n"

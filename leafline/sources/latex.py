@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 SCHEMA = "doc_id long, ordinal int, kind string, text string, level int, cells array<array<string>>, label string, code string"
 # Environments and the kind of block each is; headings and their levels.
 ENVIRONMENTS = {
@@ -189,18 +191,22 @@ def plain_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _mapped(docs, id_col, text_col, "doc_id long, text string", ["doc_id", "text"], lambda t: [(plain(t),)])
 
 
-def expand_inputs(files: DataFrame, deepest: int = 12) -> DataFrame:
-    """doc_id, depth, file: every file that a document's \\input and \\include reach, loops cut by depth.
+def expand_inputs(files: DataFrame) -> DataFrame:
+    """doc_id, depth, file: every file that a document's \\input and \\include reach, however deep; a file counts once.
 
-    files: (doc_id, name, text). Joins along include edges, one a level.
+    files: (doc_id, name, text). Joins along include edges, one a level; files that were reached
+    before go no further, so loops end.
     """
-    edges = files.select("doc_id", "name", F.explode(F.regexp_extract_all(F.regexp_replace("text", r"(?m)(?<!\\)%.*$", ""), F.lit(r"\\(?:input|include)\{([^}]+)\}"), F.lit(1))).alias("to")).select("doc_id", "name", F.when(F.col("to").endswith(".tex"), F.col("to")).otherwise(F.concat("to", F.lit(".tex"))).alias("to")).distinct()
+    inputs = F.regexp_extract_all(F.regexp_replace("text", r"(?m)(?<!\\)%.*$", ""), F.lit(r"\\(?:input|include)\{([^}]+)\}"), F.lit(1))
+    named = files.select("doc_id", "name", F.explode(inputs).alias("to"))
+    edges = named.select("doc_id", "name", F.when(F.col("to").endswith(".tex"), F.col("to")).otherwise(F.concat("to", F.lit(".tex"))).alias("to")).distinct()
+    edges = cut(edges)
     roots = files.select("doc_id", "name").join(edges.select("doc_id", F.col("to").alias("name")), ["doc_id", "name"], "left_anti")
-    step = roots.select("doc_id", F.lit(0).alias("depth"), F.col("name").alias("file"))
-    out = step
-    for d in range(1, deepest + 1):
-        step = step.join(edges.withColumnRenamed("name", "file"), ["doc_id", "file"]).select("doc_id", F.lit(d).alias("depth"), F.col("to").alias("file")).distinct()
-        if not step.limit(1).count():
-            break
-        out = out.unionByName(step)
-    return out.groupBy("doc_id", "file").agg(F.min("depth").alias("depth"))
+    out = step = cut(roots.select("doc_id", F.lit(0).alias("depth"), F.col("name").alias("file")).distinct())
+    depth = 0
+    while step.limit(1).count():
+        depth += 1
+        found = step.select("doc_id", "file").join(edges.withColumnRenamed("name", "file"), ["doc_id", "file"]).select("doc_id", F.col("to").alias("file")).distinct()
+        step = cut(found.join(out.select("doc_id", "file"), ["doc_id", "file"], "left_anti").select("doc_id", F.lit(depth).alias("depth"), "file"))
+        out = cut(out.unionByName(step))
+    return out.select("doc_id", "file", "depth")
