@@ -34,7 +34,7 @@ def abbreviations(docs: DataFrame, allowed: DataFrame | list[str] | None = None,
 
     One shuffle, on (document, acronym), after map-side counting.
     """
-    prose = lines(docs).select("doc_id", "line_no", T.plain_text(F.col("raw")).alias("line"))
+    prose = lines(docs, of=T.plain_text, name="line").where(F.col("line").rlike("[A-Z][A-Z0-9-]"))
     seen = prose.select("doc_id", "line_no", "line", F.explode(F.regexp_extract_all(F.regexp_replace("line", FOLD, "x"), F.lit(ACRONYM), F.lit(0))).alias("acronym"))
     if isinstance(allowed, DataFrame):
         seen = seen.join(allowed.select("acronym"), "acronym", "left_anti")
@@ -57,7 +57,7 @@ def style(docs: DataFrame, rules: list[tuple[str, str, str]] | None = None, path
     Rules of a default's name replace it. The rules are a short array in the projection: no join.
     """
     named = {r[0]: r for r in [*STYLE_RULES, *(rules or [])]}
-    prose = lines(docs).select("doc_id", "line_no", T.plain_line(F.col("raw")).alias("excerpt")).where("excerpt <> ''")
+    prose = lines(docs, of=T.plain_line, name="excerpt").where("excerpt <> ''")
     hits = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(m).alias("message"), F.regexp_extract_all("excerpt", F.lit(p), F.lit(0)).alias("tokens")) for n, p, m in named.values()))
     found = prose.select("doc_id", "line_no", "excerpt", F.explode(F.filter(hits, lambda x: F.size(x["tokens"]) > 0)).alias("x")).select("doc_id", "line_no", "x.rule", "x.message", "excerpt", F.explode("x.tokens").alias("token"))
     where = F.col("doc_id").cast("string") if path is None else path
@@ -82,16 +82,16 @@ def declared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labels, refs
 
 
-def references(docs: DataFrame, main_doc: Column | None = None) -> DataFrame:
+def references(docs: DataFrame, main: DataFrame | None = None) -> DataFrame:
     """kind, label, message: undefined references, duplicate labels, and main-document floats never cited there.
 
-    main_doc: condition on doc_id that picks the main document's rows; all rows if None.
+    main: doc_id of the main documents; all documents if None.
     """
     labels, refs = declared(docs)
-    main = F.lit(True) if main_doc is None else main_doc
+    of_main = lambda d: d if main is None else d.join(main.select("doc_id").distinct(), "doc_id", "left_semi")
     undefined = refs.select("label").distinct().join(labels.select("label"), "label", "left_anti").where(F.contains("label", F.lit(":")) & ~F.substring_index("label", ":", 1).isin(IGNORED_KINDS))
     twice = labels.groupBy("label").count().where("count > 1")
-    uncited = labels.where(main).select("doc_id", "label", "kind").distinct().join(refs.where(main), ["doc_id", "label"], "left_anti")
+    uncited = of_main(labels).select("doc_id", "label", "kind").distinct().join(of_main(refs), ["doc_id", "label"], "left_anti")
     return (
         undefined.select(F.lit("reference").alias("kind"), "label", F.lit("references an undefined label").alias("message"))
         .unionByName(twice.select(F.lit("duplicate").alias("kind"), "label", F.lit("duplicate label").alias("message")))

@@ -2,33 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 1), raw. A generator over one projection: no shuffle."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(T.split_lines(F.col(text_col))).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: Callable[[Column], Column] | None = None, name: str = "raw") -> DataFrame:
+    """doc_id, line_no (from 1) and the line, or what ``of`` makes of it. A generator over one projection: no shuffle.
+
+    ``of`` is worked out before the lines become rows, so that a filter on it does not work it out again.
+    """
+    found = T.split_lines(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found if of is None else F.transform(found, of)).alias("line_no", name))
+    return rows.withColumn("line_no", F.col("line_no") + 1)
+
+
+#: Stands between a line's number and the line while paragraphs are cut.
+MARK = "\u0001"
 
 
 def _paragraph_rows(text: Column) -> Column:
-    """(start_line, end_line, raw) of the maximal runs of lines that hold more than white space."""
-    ends = F.regexp_replace(text, r"\r\n?", "\n")
-    blank, full = r"(?:[^\S\n]*\n)*", r"((?:[^\n]*\S[^\n]*(?:\n|$))+)"
-    found = F.regexp_extract_all(ends, F.lit(f"({blank}){full}"), F.lit(1)), F.regexp_extract_all(ends, F.lit(f"({blank}){full}"), F.lit(2))
-    pair = F.arrays_zip(found[0].alias("gap"), found[1].alias("body"))
-    count = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    start = F.struct(F.lit(0).alias("line"), F.array().cast("array<struct<start_line:int,end_line:int,raw:string>>").alias("rows"))
+    """(start_line, end_line, raw) of the maximal runs of lines that hold more than white space.
+
+    Lines are numbered and blank ones emptied, so paragraphs stand between runs of line ends: one
+    split, in time and stack that do not depend on how long a paragraph is. A last line of the mark
+    alone, which no numbered line can be, tells a paragraph that ends with the text.
+    """
+    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n", -1)
+    numbered = F.transform(lines, lambda x, i: F.when(x.rlike(r"\S"), F.concat((i + 1).cast("string"), F.lit(MARK), x)).otherwise(""))
+    parts = F.split(F.concat(F.array_join(numbered, "\n"), F.lit("\n" + MARK)), r"\n{2,}", -1)
+    bodies = F.transform(F.filter(parts, lambda p: ~p.isin("", MARK, "\n" + MARK)), lambda p: F.regexp_replace(p, r"\A\n", ""))
+    ends = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
 
-    def step(acc, x):
-        first = acc["line"] + count(x["gap"]) + 1
-        last = first + count(x["body"]) - F.when(x["body"].endswith("\n"), 1).otherwise(0)
-        row = F.struct(first.alias("start_line"), last.alias("end_line"), x["body"].alias("raw"))
-        return F.struct((acc["line"] + count(x["gap"]) + count(x["body"])).alias("line"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+    def row(p):
+        first, last = F.substring_index(p, MARK, 1).cast("int"), p.endswith("\n" + MARK)
+        raw = F.regexp_replace(p, rf"(?md)^[0-9]*{MARK}", "")
+        whole = F.when(last, F.substring(raw, F.lit(1), F.length(raw) - 1)).otherwise(F.concat(raw, F.lit("\n")))
+        return F.struct(first.alias("start_line"), (first + ends(p) - last.cast("int")).alias("end_line"), whole.alias("raw"))
 
-    return F.aggregate(pair, start, step, lambda acc: acc["rows"])
+    return F.transform(bodies, row)
 
 
 def source_map(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,11 +52,10 @@ def source_map(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A document without paragraphs keeps one row with a null paragraph. Row-local: no shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("all_text"), F.posexplode_outer(_paragraph_rows(text)).alias("paragraph", "p"))
-    empty = F.col("p").isNull()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(~text.rlike(r"\S"), text).alias("blank"), F.posexplode_outer(_paragraph_rows(text)).alias("paragraph", "p"))
     return rows.select(
         "doc_id", "paragraph", F.coalesce("p.start_line", F.lit(1)).alias("start_line"), F.coalesce("p.end_line", F.lit(0)).alias("end_line"),
-        F.sha2(F.when(empty, F.col("all_text")).otherwise(F.col("p.raw")), 256).alias("sha256"), F.coalesce(F.regexp_replace("p.raw", r"\n$", ""), F.lit("")).alias("text"),
+        F.sha2(F.coalesce("p.raw", "blank"), 256).alias("sha256"), F.coalesce(F.regexp_replace("p.raw", r"\n\z", ""), F.lit("")).alias("text"),
     )
 
 
