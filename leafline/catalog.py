@@ -85,11 +85,26 @@ def gate_style(spark, sf):
 
 @query(STYLE_SQL + " SELECT doc_id, line_no, rule, message, excerpt, token, fingerprint FROM g WHERE fingerprint NOT IN (SELECT fingerprint FROM g WHERE doc_id % 2 = 0)")
 def gate_style_unresolved(spark, sf):
-    """Findings beyond a baseline made of the even documents."""
-    found = G.style(table(spark, sf, "documents"), STYLE_EXTRA)
+    """Findings beyond a baseline made of the even documents; the findings are worked out once."""
+    found = G.style(table(spark, sf, "documents"), STYLE_EXTRA).persist()
     return G.unresolved(found, G.baseline(found.where("doc_id % 2 = 0"))).select("doc_id", "line_no", "rule", "message", "excerpt", "token", "fingerprint")
 
 
+@query(r"""WITH r AS (SELECT o_orderkey AS doc_id, 1 AS line_no, 'EM_DASH' AS rule, 'a — b ' || o_custkey AS excerpt, '—' AS token FROM orders WHERE o_orderkey % 2 = 0
+ UNION ALL SELECT o_orderkey, 2, 'NUMERIC_HYPHEN_RANGE', 'from ' || o_custkey || ' - ' || o_orderkey || ' on', o_custkey || ' - ' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0
+ UNION ALL SELECT o_orderkey, 3, 'UNICODE_SCRIPT', 'H₂O and x² of ' || o_custkey, unnest(['₂', '²']) FROM orders WHERE o_orderkey % 5 = 0)
+ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, rule, token, excerpt, rule || ':' || substr(sha256(doc_id || '|' || rule || '|' || excerpt || '|' || token), 1, 20) AS fingerprint FROM r""")
+def gate_style_rules(spark, sf):
+    """The built-in prose rules on rendered lines: marked words in commands, math and comments do not count."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    first = F.when(k % 2 == 0, F.concat(F.lit("a — \\emph{}b "), c, F.lit(" % no — here"))).otherwise("a - b \\ref{x—y}")
+    second = F.when(k % 3 == 0, F.concat(F.lit("from "), c, F.lit(" - "), k, F.lit("   on"))).otherwise("$1 - 2$ and 3-4")
+    third = F.when(k % 5 == 0, F.concat(F.lit("H₂O and x² of "), c)).otherwise("\\cite{x²} H2O")
+    docs = table(spark, sf, "orders").select(k.alias("doc_id"), F.concat_ws("\n", first, F.regexp_replace(second, "\\{\\}", ""), third).alias("text"))
+    docs = docs.withColumn("text", F.replace("text", F.lit("\\emph{}b"), F.lit("\\textbf b")))
+    return G.style(docs).drop("message")
+
+
 @query(r"""SELECT 'reference' AS kind, 'fig:m' || n_nationkey AS label, 'references an undefined label' AS message FROM nation WHERE n_nationkey % 5 = 1
  UNION ALL SELECT 'tab', 'tab:n' || n_nationkey, 'main figure/table is never cited in main prose' FROM nation WHERE n_nationkey % 4 = 0
  UNION ALL SELECT 'duplicate', 'fig:d', 'duplicate label'""")
@@ -174,7 +189,7 @@ def html_tables(spark, sf):
 # -- Markdown documents rendered from the tables ----------------------------------------
 def _nation_docs(spark, sf) -> DataFrame:
     """One document a nation: a heading, an abstract, a captioned supplier table with notes, an image, bullets."""
-    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.concat(F.lit("| "), x["s_suppkey"], F.lit(" | "), x["s_name"], F.lit("<sup>[a]</sup> |"))), "\n").alias("rows"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.concat(F.lit("| "), x["s_suppkey"], F.lit(" | "), x["s_name"], F.lit("\\|x<sup>[a]</sup> |"))), "\n").alias("rows"))
     n = F.col("n_nationkey")
     text = F.concat(
         F.lit("# Abstract\n\nOf "), "n_name", F.lit(".\nmore\n\nKeywords: a, b\n\n# "), "n_name", F.lit("\n\nTable"), F.when(n % 3 == 0, F.concat(F.lit(" "), n + 1, F.lit("."))).otherwise(":"), F.lit(" Suppliers.|span=page\n\n| id | name |\n|:---|---:|\n"), "rows",
@@ -194,11 +209,11 @@ def md_block_kinds(spark, sf):
     return markdown.blocks(_nation_docs(spark, sf)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(s_nationkey AS BIGINT) AS doc_id, CAST(s_suppkey AS VARCHAR) AS id, s_name || '<sup>[a]</sup>' AS name FROM supplier")
+@query("SELECT CAST(s_nationkey AS BIGINT) AS doc_id, CAST(s_suppkey AS VARCHAR) AS id, s_name || '|x<sup>[a]</sup>' AS name FROM supplier")
 def md_table_cells(spark, sf):
     """Cells of rendered pipe tables: exactly the rows they came from."""
     t = markdown.blocks(_nation_docs(spark, sf)).where("kind = 'table'")
-    return t.select("doc_id", F.explode(F.slice("cells", 2, 1_000_000)).alias("r")).select("doc_id", F.col("r")[0].alias("id"), F.col("r")[1].alias("name"))
+    return t.select("doc_id", F.explode(F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))).alias("r")).select("doc_id", F.col("r")[0].alias("id"), F.col("r")[1].alias("name"))
 
 
 @query(rf"""WITH {NATIONS_SQL} SELECT CAST(k AS BIGINT) AS doc_id, 'table_note.orphan' AS code, CAST(NULL AS BIGINT) AS table_id, '' AS label FROM n
@@ -263,11 +278,17 @@ def front_matter(spark, sf):
     return N.front_matter(N.lines(docs)).select("doc_id", "title", "authors", F.transform("contacts", lambda c: F.regexp_replace(c, r"^\*", "")).alias("contacts"))
 
 
-@query(r"""SELECT o_orderkey AS doc_id, k.kind, CAST(k.n AS BIGINT) AS n FROM orders, (VALUES ('text', 5), ('strong', 1), ('emph', 1), ('code', 1), ('math', 1), ('citation', 1), ('link', 1), ('sub', 1)) AS k(kind, n) WHERE o_orderkey % 50 = 0""")
+@query(r"""SELECT o_orderkey AS doc_id, k.kind, CAST(k.n AS BIGINT) AS n FROM orders,
+ LATERAL (VALUES ('text', 4 + (o_orderkey % 5 < 2)::INT), ('strong', 1), ('emph', 1), ('code', (o_orderkey % 2 = 0)::INT), ('math', (o_orderkey % 3 = 0)::INT), ('citation', 1), ('link', (o_orderkey % 5 < 2)::INT), ('sub', 1)) AS k(kind, n) WHERE k.n > 0""")
 def inline_trees(spark, sf):
     """Inline nodes by kind."""
-    some = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit("**a *b***`c`$d$\\cite{e, f}[g](h)x_2<sub>i</sub>").alias("text"))
-    return inline.inline_nodes(some, ["doc_id"]).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("o_orderkey")
+    parts = [
+        F.lit("**a *b"), F.col("o_custkey"), F.lit("***"), F.when(k % 2 == 0, F.concat(F.lit("`c"), k, F.lit("`"))).otherwise(""), F.when(k % 3 == 0, F.concat(F.lit("$d_"), k, F.lit("$"))).otherwise(""),
+        F.lit("\\cite{e, f"), k, F.lit("}"), F.when(k % 5 < 2, "[g](h)").otherwise(""), F.lit("x_2<sub>i</sub>"),
+    ]
+    docs = table(spark, sf, "orders").select(k.alias("doc_id"), F.concat(*parts).alias("text"))
+    return inline.inline_nodes(docs, ["doc_id"]).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""SELECT c_custkey AS doc_id, 'Customer ' || c_custkey || ' a-b' AS key FROM customer""")
@@ -483,13 +504,13 @@ def flat_headers(spark, sf):
     return A.flatten_header(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.explode(cells).alias("c")).select("doc_id", "c.*"))
 
 
-@query("""SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, sha256(string_agg(doc_id || '.txt ' || sha256(text), chr(10) ORDER BY doc_id || '.txt')) AS sha FROM documents GROUP BY source""")
+@query("""WITH f AS (SELECT source, doc_id || '.txt' AS path, length(text) AS size, sha256(text) AS sha FROM documents),
+ b AS (SELECT source, substr(sha256(path), 1, 3) AS bucket, count(*) AS n, sum(size) AS size, sha256(string_agg(sha || ' ' || size || ' ' || path, chr(10) ORDER BY path)) AS part FROM f GROUP BY ALL)
+ SELECT source, CAST(sum(n) AS BIGINT) AS n, CAST(sum(size) AS BIGINT) AS bytes, sha256(string_agg(part, chr(10) ORDER BY bucket)) AS semantic_hash FROM b GROUP BY source""")
 def manifests(spark, sf):
     """Artifacts of each source with one hash over all."""
-    a = A.artifacts(table(spark, sf, "documents").select("source", F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))).select("path", "size", "sha256")
-    src = table(spark, sf, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("path"), "source")
-    rows = F.sort_array(F.collect_list(F.struct("path", "sha256")))
-    return a.join(src, "path").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("chars"), F.sha2(F.array_join(F.transform(rows, lambda x: F.concat_ws(" ", x["path"], x["sha256"])), "\n"), 256).alias("sha"))
+    docs = table(spark, sf, "documents").select("source", F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    return A.manifest(docs.select("source", "path", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256")), "source")
 
 
 @query("""SELECT doc_id || '.txt' AS path, CASE doc_id % 5 WHEN 0 THEN 'artifact.missing' WHEN 1 THEN 'artifact.size' ELSE 'artifact.sha256' END AS code FROM documents WHERE doc_id % 5 < 3""")
@@ -562,11 +583,16 @@ def change_summary(spark, sf):
     return L.change_summary(L.align_versions(*_versions(spark, sf)))
 
 
-@query("""SELECT conv_id AS doc_id, turn AS ordinal, text || ' indeed' AS accepted, text AS rejected FROM conversations""")
+@query("""SELECT conv_id AS doc_id, turn AS ordinal, CASE turn % 3 WHEN 0 THEN text || ' indeed' WHEN 1 THEN 'So ' || text ELSE text || ' ' || turn || ' ' || text END AS accepted, text AS rejected,
+ text AS kept, CAST(2 AS INTEGER) AS n_edits FROM conversations""")
 def redline(spark, sf):
-    """Word edits, taken and refused."""
-    pairs = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.col("text").alias("base_text"), F.concat("text", F.lit(" indeed")).alias("current_text"))
-    return L.redline(pairs).select("doc_id", "ordinal", L.accepted(F.col("edits")).alias("accepted"), L.rejected(F.col("edits")).alias("rejected"))
+    """Word edits, taken and refused; what is kept is the whole text, as one run."""
+    k, t = F.col("turn"), F.col("text")
+    new = F.when(k % 3 == 0, F.concat(t, F.lit(" indeed"))).when(k % 3 == 1, F.concat(F.lit("So "), t)).otherwise(F.concat_ws(" ", t, k, t))
+    pairs = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), k.alias("ordinal"), t.alias("base_text"), new.alias("current_text"))
+    e = F.col("edits")
+    kept = F.array_join(F.transform(F.filter(e, lambda x: x["op"] == "equal"), lambda x: x["text"]), "")
+    return L.redline(pairs).select("doc_id", "ordinal", L.accepted(e).alias("accepted"), L.rejected(e).alias("rejected"), kept.alias("kept"), F.size(e).alias("n_edits"))
 
 
 @query("""SELECT conv_id AS doc_id, turn AS anchor, CASE WHEN turn % 3 = 1 THEN 'removed' WHEN turn % 4 = 0 THEN 'changed' ELSE 'same' END AS status FROM conversations""")
@@ -576,26 +602,29 @@ def anchor_changes(spark, sf):
     return L.anchor_changes(a, b)
 
 
-@query("""SELECT conv_id AS doc_id, CAST(turn AS BIGINT) AS left_ordinal, CAST(turn AS BIGINT) AS right_ordinal, 1.0 AS ratio FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS r FROM conversations) WHERE r = 1""")
+@query(r"""SELECT conv_id AS doc_id, CAST(turn AS BIGINT) AS left_ordinal, CAST(turn AS BIGINT) AS right_ordinal, CAST(round(2.0 * n / (2 * n + 7), 6) AS DOUBLE) AS ratio FROM
+ (SELECT conv_id, turn, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS r FROM conversations) WHERE r = 1 AND n >= 200""")
 def nearest_text(spark, sf):
-    """Each text's most similar one; itself where it is there."""
+    """Each longer text's most similar one among edited texts: its own, by how little the edit is."""
     t = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), "text")
     first = t.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("ordinal"))).where("r = 1").drop("r")
-    return L.nearest_text(first, first, least=0.9).where("ratio = 1")
+    long_ = first.where(F.length(T.squeeze(F.col("text"))) >= 200)
+    return L.nearest_text(long_, first.withColumn("text", F.concat("text", F.lit(" indeed"))), least=0.9)
 
 
 @query("""SELECT conv_id AS doc_id, CAST(turn AS BIGINT) AS source_ordinal, CAST(turn AS BIGINT) AS target_ordinal FROM conversations WHERE turn % 3 <> 1""")
 def map_blocks(spark, sf):
     """Blocks of a source matched to those of an edited target, in order."""
-    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.concat(F.lit("turn "), "turn", F.lit(" of the conversation with its text "), F.substring("text", 1, 40)).alias("key"))
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.concat("turn", F.lit(" of the conversation: "), "text").alias("key"))
     return D.map_blocks(t, t.where("ordinal % 3 <> 1").withColumn("key", F.when(F.col("ordinal") % 3 == 2, F.concat("key", F.lit("!"))).otherwise(F.col("key"))))
 
 
-@query("""SELECT conv_id AS doc_id, CASE WHEN turn = 0 THEN 'refused' ELSE 'replace' END AS op, CAST(turn AS BIGINT) AS baseline_ordinal FROM conversations WHERE turn % 2 = 0""")
+@query("""SELECT conv_id AS doc_id, CASE WHEN turn = 0 THEN 'refused' ELSE 'replace' END AS op, CAST(turn AS BIGINT) AS baseline_ordinal, CAST(turn AS BIGINT) AS edited_ordinal, turn || ' ' || text || '?' AS text
+ FROM conversations WHERE turn % 2 = 0""")
 def plan_delta(spark, sf):
     """Replacements that an edit asks for; opaque chunks are refused."""
     t = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), (F.col("turn") == 0).alias("opaque"), F.concat("turn", F.lit(" "), "text").alias("text"))
-    return D.plan_delta(t, t.withColumn("text", F.when(F.col("ordinal") % 2 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")))).select("doc_id", "op", "baseline_ordinal")
+    return D.plan_delta(t, t.withColumn("text", F.when(F.col("ordinal") % 2 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text"))))
 
 
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, c.code, c.part, CAST(c.l AS INTEGER) AS line_no FROM nation, (VALUES ('chunk.overlap', 'b', 2), ('chunk.uncovered', NULL, 5)) AS c(code, part, l)""")
@@ -614,12 +643,14 @@ def listed_numbers(spark, sf):
     return table(spark, sf, "supplier").select(k.alias("doc_id"), D.collapse_lists(raw).alias("text"))
 
 
-@query("""SELECT p_partkey % 50 AS doc_id, p_partkey AS ordinal, lower(p_brand_) || (1990 + p_size % 3) || CASE WHEN k = 1 THEN '' ELSE chr(CAST(95 + k AS INTEGER)) END AS key FROM
- (SELECT *, row_number() OVER (PARTITION BY p_partkey % 50, p_brand_, p_size % 3 ORDER BY p_partkey) AS k FROM (SELECT *, 'Brand' AS p_brand_ FROM part WHERE p_partkey <= 1000))""")
+@query("""SELECT g AS doc_id, p_partkey AS ordinal, word || (1990 + p_size % 30) || CASE WHEN k = 1 THEN '' ELSE chr(CAST(95 + k AS INTEGER)) END AS key FROM
+ (SELECT *, row_number() OVER (PARTITION BY g, word, p_size % 30 ORDER BY p_partkey) AS k FROM (SELECT *, p_partkey // 100 AS g, split_part(p_name, ' ', 1) || CASE p_partkey % 3 WHEN 0 THEN 'e' ELSE '' END AS word FROM part))""")
 def surname_keys(spark, sf):
-    """Citation keys from reference texts."""
-    p = table(spark, sf, "part").where("p_partkey <= 1000")
-    return D.surname_keys(p.select((F.col("p_partkey") % 50).alias("doc_id"), F.col("p_partkey").alias("ordinal"), F.concat(F.lit("Bránd, X. On things ("), 1990 + F.col("p_size") % 3, F.lit(").")).alias("text")))
+    """Citation keys from reference texts: surnames with marks, behind and before initials."""
+    k, first = F.col("p_partkey"), F.initcap(F.split("p_name", " ")[0])
+    name = F.when(k % 3 == 0, F.concat(F.lit("[7] "), first, F.lit("é, X. Y."))).when(k % 3 == 1, F.concat(F.lit("A. B.-C. "), first, F.lit("; Other, D."))).otherwise(F.concat(first, F.lit(" Q., Z.")))
+    text = F.concat(name, F.lit(" On things ("), 1990 + F.col("p_size") % 30, F.lit(")."))
+    return D.surname_keys(table(spark, sf, "part").select(F.floor(k / 100).alias("doc_id"), k.alias("ordinal"), text.alias("text")))
 
 
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS ordinal, n_name AS title, ['b' || n_nationkey] AS bullets, NULL::VARCHAR AS error FROM nation UNION ALL SELECT n_nationkey, 1, '', []::VARCHAR[], 'slides.title' FROM nation""")
