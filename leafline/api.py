@@ -46,6 +46,20 @@ def convert(docs: DataFrame, source: str, target: str, loss: str = "warn") -> Da
     return wide.select("doc_id", (F.when(F.col("n_losses") == 0, text) if loss == "error" else text).alias("text"), "n_losses")
 
 
+def write(spark, docs: DataFrame, source: str, target: str, root: str, *, fidelity: str = "best", command: str = "", force: bool = False) -> dict:
+    """Convert and publish as one release of root: the texts and the losses of each document.
+
+    Under ``preserve`` a document that loses anything keeps the release back.
+    """
+    from .plans import release
+
+    rows = convert(docs, source, target, default_loss_policy(fidelity)).persist()
+    lost = losses(read(docs, source), target)
+    if fidelity == "preserve" and rows.where("n_losses > 0").limit(1).count():
+        raise ValueError("release.blocked: losses under preserve")
+    return release.publish(spark, root, {"texts": rows, "losses": lost}, command=command, force=force)
+
+
 def audit(packages: DataFrame) -> DataFrame:
     return docx.audit(packages)
 

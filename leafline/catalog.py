@@ -675,8 +675,12 @@ def convert(spark, sf):
 
 
 def queries() -> dict[str, Callable]:
+    from . import catalog_review  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_review  # noqa: F401
+
     return dict(_SQL)
