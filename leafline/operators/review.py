@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.lineage import cut
-from .align import word_edits
+from .align import ratio, word_edits
 from .delta import map_blocks
 
 
+#: How alike two rows are at least that are one, rewritten.
+ROW_RATIO = 0.5
+
+
 # -- shapes and tables ------------------------------------------------------------------
 def same_shape(base: DataFrame, current: DataFrame) -> DataFrame:
     """doc_id, same: whether both versions have the same slots: kind, style and drawing by ordinal."""
@@ -24,13 +28,36 @@ def same_shape(base: DataFrame, current: DataFrame) -> DataFrame:
 def table_redline(base: DataFrame, current: DataFrame) -> DataFrame:
     """doc_id, table_id, step, action (same, changed, insert, delete), base_row, current_row, cells of (doc_id, table_id, row, cells).
 
-    Rows are matched by their texts; between matches the k-th row that went and the k-th that came
-    of as many cells are one row, whose cells hold word edits. Other rows went or came whole.
+    Equal rows are matched first. Between them, rows of as many cells are one row, in order, where
+    their texts are alike by half at least, so that the likenesses add up to the most; their cells
+    hold word edits. Other rows went or came whole.
     """
 
     def edits(old, new):
         return [[{"op": o, "text": t} for o, t in word_edits(x, y)] for x, y in zip(old, new)]
 
+    def rewritten(old, new):
+        """Order-preserving pairs of rows."""
+        texts = [[" | ".join(r["cells"] or []) for r in side] for side in (old, new)]
+        best = [[0.0] * (len(new) + 1) for _ in range(len(old) + 1)]
+        like = [[0.0] * len(new) for _ in old]
+        for i in range(len(old) - 1, -1, -1):
+            for j in range(len(new) - 1, -1, -1):
+                if len(old[i]["cells"] or []) == len(new[j]["cells"] or []):
+                    r = ratio(texts[0][i], texts[1][j])
+                    like[i][j] = r if r >= ROW_RATIO else 0.0
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + like[i][j])
+        out, i, j = [], 0, 0
+        while i < len(old) and j < len(new):
+            if like[i][j] and best[i][j] == best[i + 1][j + 1] + like[i][j]:
+                out.append((old[i], new[j]))
+                i, j = i + 1, j + 1
+            elif best[i][j] == best[i + 1][j]:
+                i += 1
+            else:
+                j += 1
+        return out
+
     def run(left, right):
         import pyarrow as pa
 
@@ -39,8 +66,7 @@ def table_redline(base: DataFrame, current: DataFrame) -> DataFrame:
         a, b = [r["slot"] for r in a], [r["slot"] for r in b]
         rows = []
         for op, i, j, k, l in SequenceMatcher(None, [tuple(r["cells"] or []) for r in a], [tuple(r["cells"] or []) for r in b], autojunk=False).get_opcodes():
-            pairs = list(zip(a[i:j], b[k:l])) if op in ("equal", "replace") else []
-            pairs = [(x, y) for x, y in pairs if len(x["cells"] or []) == len(y["cells"] or [])]
+            pairs = list(zip(a[i:j], b[k:l])) if op == "equal" else rewritten(a[i:j], b[k:l])
             gone, come = {x["row"] for x, _ in pairs}, {y["row"] for _, y in pairs}
             rows += [("delete", x["row"], None, edits(x["cells"] or [], [""] * len(x["cells"] or []))) for x in a[i:j] if x["row"] not in gone]
             rows += [("same" if op == "equal" else "changed", x["row"], y["row"], edits(x["cells"] or [], y["cells"] or [])) for x, y in pairs]
