@@ -16,12 +16,14 @@ def default_loss_policy(fidelity: str) -> str:
 
 
 def read(docs: DataFrame, source: str) -> DataFrame:
-    """Block rows of (doc_id, text) in a source format, under one schema."""
+    """Block rows of (doc_id, text) in a source format, or of (path, content) packages, under one schema."""
     if source == "markdown":
         return markdown.blocks(docs)
     if source == "latex":
         rows = latex.blocks(docs)
         return rows.select("doc_id", "ordinal", "kind", "text", "level", "cells", F.lit("").alias("language"), F.lit("").alias("path"), F.create_map(F.lit("label"), F.coalesce("label", F.lit(""))).alias("options"), F.transform(F.coalesce(F.try_element_at("cells", F.lit(1)), F.array().cast("array<string>")), lambda _: F.lit("")).alias("alignments"), F.col("code").alias("error"))
+    if source == "docx":
+        return docx.semantic(docs)
     raise ValueError(f"no reader for {source}")
 
 
@@ -41,7 +43,8 @@ def convert(docs: DataFrame, source: str, target: str, loss: str = "warn") -> Da
     lost = losses(rows, target).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_losses"))
     kept = rows.join(losses(rows, target).select("doc_id", "ordinal"), ["doc_id", "ordinal"], "left_anti") if loss == "drop" else rows
     made = B.render_markdown(kept).withColumnRenamed("markdown", "out") if target == "markdown" else B.render_latex(kept).withColumnRenamed("latex", "out")
-    wide = docs.select("doc_id").join(made, "doc_id", "left").join(lost, "doc_id", "left").withColumn("n_losses", F.coalesce("n_losses", F.lit(0)))
+    ids = docs.select(F.xxhash64("path").alias("doc_id")) if source == "docx" else docs.select("doc_id")
+    wide = ids.join(made, "doc_id", "left").join(lost, "doc_id", "left").withColumn("n_losses", F.coalesce("n_losses", F.lit(0)))
     text = F.coalesce("out", F.lit(""))
     return wide.select("doc_id", (F.when(F.col("n_losses") == 0, text) if loss == "error" else text).alias("text"), "n_losses")
 

@@ -91,6 +91,35 @@ def blocks(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, ordinal int, kind string, style string, text string, original string, cells array<array<string>>, drawing boolean, revised boolean, error string")
 
 
+def semantic(files: DataFrame) -> DataFrame:
+    """Blocks of packages under the schema that the Markdown reader has: headings by style, tables, images, paragraphs; comments and revisions are taken as accepted."""
+    b = blocks(files)
+    level = F.regexp_extract("style", r"(?i)^heading\s*([1-6])$", 1)
+    kind = F.when(F.col("error").isNotNull(), "error").when(F.col("kind") == "tbl", "table").when(level != "", "heading").when(F.lower("style") == "title", "heading").when(F.col("drawing"), "image").when(F.lower("style").startswith("list"), "bullet").otherwise("paragraph")
+    held = b.withColumn("what", kind).where("what <> 'paragraph' or trim(text) <> ''")
+    depth = F.when(level != "", level.cast("int")).when(F.col("what") == "heading", 1).otherwise(0)
+    empty = F.array().cast("array<string>")
+    return held.select(
+        F.xxhash64("path").alias("doc_id"), F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.col("what").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), depth.alias("level"), F.when(F.col("what") == "table", F.col("cells")).alias("cells"),
+        F.lit("").alias("language"), F.lit("").alias("path"), F.create_map(F.lit("style"), F.coalesce("style", F.lit(""))).alias("options"), F.when(F.col("what") == "table", F.transform(F.coalesce(F.try_element_at("cells", F.lit(1)), empty), lambda _: F.lit(""))).alias("alignments"), "error",
+    )
+
+
+def block_map(files: DataFrame) -> DataFrame:
+    """doc_id, ordinal, key, opaque: what an edit can be mapped onto; tables and drawings are opaque."""
+    from ..functions.inline import inline_key
+
+    b = blocks(files).where("error is null")
+    return b.select(F.xxhash64("path").alias("doc_id"), "ordinal", inline_key(F.coalesce("text", F.lit(""))).alias("key"), ((F.col("kind") != "p") | F.col("drawing")).alias("opaque"), "text")
+
+
+def versions(files: DataFrame, accepted: bool = True) -> DataFrame:
+    """doc_id, ordinal, kind, style, text, drawing as alignments take them, with changes taken or refused."""
+    b = blocks(files).where("error is null")
+    text = F.col("text") if accepted else F.col("original")
+    return b.select(F.xxhash64(F.regexp_extract("path", r"([^/]+)$", 1)).alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), "kind", "style", text.alias("text"), F.when(F.col("drawing"), "drawing").alias("drawing"))
+
+
 def relationships(files: DataFrame) -> DataFrame:
     """path, owner, rel_id, target, external, used: what parts declare and refer to."""
 

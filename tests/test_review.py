@@ -93,3 +93,44 @@ def test_names_and_math(spark):
     assert [r.target for r in T.distinct_names(names, ["doc_id"], "name", "ordinal").orderBy("ordinal").collect()] == ["a.png", "A-2.png", "b"]
     shown = spark.range(1).select(T.backend_math(F.lit(r"\dfrac{a}{b} \bm{x}\label{eq:1} \operatorname*{argmin} \nonumber")).alias("v")).first().v
     assert shown == r"\frac{a}{b} \mathbf{x} \operatorname{argmin}"
+
+
+def package(paragraphs):
+    import io
+    import zipfile
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f"<w:p><w:pPr><w:pStyle w:val='{s}'/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>" for s, t in paragraphs)
+    table = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a|b</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", f"<w:document xmlns:w='{w}'><w:body>{body}{table}</w:body></w:document>")
+    return buf.getvalue()
+
+
+def test_commands_over_packages(spark, tmp_path):
+    from leafline.__main__ import main
+
+    for name, text in (("one", "old words here"), ("two", "old words there")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "d.docx").write_bytes(package([("Heading1", "Head"), ("Normal", text)]))
+    at = lambda n: str(tmp_path / n)
+    assert main(["export", at("one"), at("md")]) == 0
+    assert spark.read.parquet(at("md")).first().text == "# Head\n\nold words here\n\n| a\\|b | c |\n| --- | --- |"
+    assert main(["export-block-map", at("one"), at("map")]) == 0 and [r.opaque for r in spark.read.parquet(at("map")).orderBy("ordinal").collect()] == [False, False, True]
+    assert main(["redline", at("one"), at("two"), at("red")]) == 0
+    rows = spark.read.parquet(at("red")).orderBy("step").collect()
+    assert [r.action for r in rows] == ["match"] * 3 and [(e.op, e.text) for e in rows[1].edits] == [("equal", "old words "), ("delete", "here"), ("insert", "there")]
+    assert main(["check", at("one")]) == 0
+    (tmp_path / "one" / "broken.docx").write_bytes(b"no package")
+    assert main(["check", at("one")]) == 1
+    assert main(["publish", at("two"), at("root"), "--source", "docx", "--target", "markdown"]) == 0
+    assert release.entry(spark, at("root"), "texts").count() == 1
+    for name, text in (("a", "x one\n\ny two"), ("b", "x one\n\ny three")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "t.md").write_text(text, encoding="utf-8")
+    assert main(["plan-delta", at("a"), at("b"), at("plan")]) == 0
+    assert [(r.op, r.text) for r in spark.read.parquet(at("plan")).collect()] == [("replace", "y three")]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "s.json").write_text('[{"title":"T","bullets":["b"]},{"title":""}]', encoding="utf-8")
+    assert main(["slides", at("s")]) == 1
