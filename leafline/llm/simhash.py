@@ -16,7 +16,8 @@ are not compared: their members meet through every value within radius / 2 bits
 proves a link, and every link has one), a number of rows linear in the members.
 
 Copies by Jaccard similarity of shingles (``near_copy_components``) leave every such radius. Their
-candidates agree on minimum hashes, and links are verified on the whole sets; see there.
+candidates agree on minimum hashes, or share one of their rarest shingles where these are too
+many, and links are verified on the whole sets; see there.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, maybe_broadcast, staged
+from .common import connected_components, dropped, maybe_broadcast, released, staged
 
 BITS = 64
 #: A-Z to a-z on UTF-8 bytes.
@@ -118,6 +119,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, plan: tuple[tuple[
         for b in batches:
             rows = [[x for how in plan for x in fingerprint(t.as_py(), *how)] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "fps"])
+        released()
 
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
     return picked.mapInArrow(run, "id long, fps array<long>")
@@ -247,10 +249,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if radius % 2:
         raise ValueError("radius must be even: large buckets meet at radius / 2")
     fps = staged(fingerprints(docs, id_col, text_col, ((width, (seed,), None),)).select(F.col("id").alias("doc_id"), F.element_at("fps", 1).alias("fingerprint")))
-    nodes = staged(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
+    n = fps.count()
+    nodes = staged(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), n)
     known = nodes.where("node is not null").select("node", F.array("fingerprint").alias("tables"), F.array().cast("array<long>").alias("check"))
-    comp = connected_components(links(known, radius, bucket=bucket), "a", "b")
-    ids = staged(nodes.join(comp, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id")))
+    comp = connected_components(links(known, radius, bucket=bucket), "a", "b", most=n)
+    ids = staged(nodes.join(comp, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id")), n)
     return fps.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
@@ -263,19 +266,24 @@ def shingle_set(text: bytes | None, width: int):
     return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.empty(0, "<u8")
 
 
-def band_keys(held, bands: int, rows: int) -> list[int]:
-    """One key for each band of ``rows`` minimum hashes of a set, as signed integers; none for the empty set."""
+def minima(held, count: int):
+    """``count`` minimum hashes of a set; all ones for the empty set."""
     import numpy as np
 
-    if not len(held):
-        return []
-    salt = np.arange(1, bands * rows + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    low = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    salt = np.arange(1, count + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    low = np.full(count, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for at in range(0, len(held), 1024):
         h = (held[at : at + 1024][None, :] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x94D049BB133111EB)
         np.minimum(low, h.min(axis=1), out=low)
+    return low
+
+
+def band_keys(low, bands: int, rows: int) -> list[int]:
+    """One key for each band of ``rows`` minimum hashes, as signed integers."""
+    import numpy as np
+
     key = np.arange(bands, dtype=np.uint64)
     for r in range(rows):
         key = mixed(key ^ low[r::rows], r + 1)
@@ -283,100 +291,205 @@ def band_keys(held, bands: int, rows: int) -> list[int]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """row, id, same (a hash of the whole set), n, bands and held (the set itself, 8 bytes a shingle)."""
+    """row, id, copy (a hash of the text), same (a hash of the whole set), n, bands, lanes (a byte of each minimum hash) and held (the set itself, 8 bytes a shingle)."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
+            for at in range(0, b.num_rows, 250):
+                part = b.slice(at, 250)
+                sets = [shingle_set(t.as_py(), width) for t in part.column(3)]
                 held = [x.tobytes() for x in sets]
-                keys = pa.array([band_keys(x, bands, rows) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([xxh3_128_digest(x) for x in held], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), keys, pa.array(held, pa.binary())], names=["row", "id", "same", "n", "bands", "held"])
+                low = [minima(x, bands * rows) for x in sets]
+                keys = pa.array([band_keys(x, bands, rows) if len(y) else [] for x, y in zip(low, sets)], pa.list_(pa.int64()))
+                lanes = pa.array([(x >> np.uint64(56)).astype(np.uint8).tobytes() for x in low], pa.binary())
+                cols = [*part.columns[:3], pa.array([xxh3_128_digest(x) for x in held], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), keys, lanes, pa.array(held, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "copy", "same", "n", "bands", "lanes", "held"])
+        released()
 
-    picked = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
-    return picked.mapInArrow(run, "row long, id long, same binary, n long, bands array<long>, held binary")
+    text = docs[text_col].cast("binary")
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("id"), text_key(text).alias("copy"), text.alias("text"))
+    return picked.mapInArrow(run, "row long, id long, copy long, same binary, n long, bands array<long>, lanes binary, held binary")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose ``sets(node, held)`` have at least that Jaccard similarity."""
+def text_key(text: Column) -> Column:
+    """A hash that tells rows of one id apart by their texts; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def _compared(pairs: DataFrame, values: DataFrame, column: str, keep, weight: int, most: int) -> DataFrame:
+    """The pairs (a, b) that keep(x, y) holds for, given arrays of both sides' values(node, column)."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for p in batches:
-            keep = []
-            for x, y in zip(p.column(2), p.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if p.num_rows:
+                hit = keep(p.column(2), p.column(3))
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        released()
 
     asked = maybe_broadcast(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = sets.join(asked, "node", "left_semi")
-    wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-    return staged(wide.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    held = values.join(asked, "node", "left_semi")
+    wide = pairs.join(held.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
+    return staged(wide.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), weight * most)
 
 
-def jaccard_components(members: DataFrame, sets: DataFrame, similarity: float, bucket: int) -> DataFrame | None:
-    """node, component of all links among ``members(key, node, n)``: pairs of one key and a Jaccard similarity reached.
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Those of the pairs (a, b) whose ``sets(node, lanes, held)`` have at least that Jaccard similarity.
+
+    Of m minimum hashes a pair of similarity s shares m * s, give or take. Pairs of 4.4 standard
+    deviations fewer (5 in a million at the least similarity asked for) are left out before their
+    whole sets are fetched.
+    """
+
+    def agree(x, y):
+        import numpy as np
+
+        a, b = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), -1) for v in (x, y))
+        m = a.shape[1]
+        return (a == b).sum(axis=1) >= m * similarity - 4.4 * (m * similarity * (1 - similarity)) ** 0.5
+
+    def exact(x, y):
+        import numpy as np
+
+        hit = []
+        for p, q in zip(x, y):
+            p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            hit.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+        return hit
+
+    near = _compared(pairs, sets, "lanes", agree, 2, most)
+    found = _compared(near, sets, "held", exact, 16, near.count())
+    dropped(near)
+    return found
+
+
+def _turns(members: DataFrame, comp: DataFrame | None, sets: DataFrame, similarity: float, bucket: int, every: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """Link members(key, node, n, s) within their buckets: components so far, and the members of buckets that are still open.
 
     Each turn links the members of a bucket to a representative drawn anew, one for every
-    ``bucket`` members; only pairs of a bucket that are still in different components stay open.
-    When these are no more than the members, or a turn links little, all of them are compared. So
-    no link is lost, and a group of copies costs turns linear in its members.
+    ``bucket`` members; only pairs of a bucket in different components are open. Turns end when
+    one links little. every: then, or once open pairs are no more than members, all are compared.
     """
-    comp, found, turn, fruitful = None, None, 0, True
+    n_members, turn, fruitful = members.count(), 0, True
     near = F.least("n", "o") >= similarity * F.greatest("n", "o") - 1e-9  # sets of other sizes cannot be so alike
     while True:
-        state = members.withColumn("component", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        state = staged(state)
-        held = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        held = staged(held)
+        state = members.withColumn("component", F.col("node")) if comp is None else staged(members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), n_members)
+        parts = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+        held = parts.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        held = staged(held, n_members)
         open_pairs, rows = held.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("sq")) / 2), F.sum("m")).first()
         if not open_pairs:
-            return comp
-        last = open_pairs <= rows or not fruitful
+            return comp, None
         opened = state.join(held.select("key", "m"), "key")
+        last = every and (open_pairs <= rows or not fruitful)
         if last:
             left, right = opened.select("key", "node", "n", "component"), opened.select("key", F.col("node").alias("b"), F.col("n").alias("o"), F.col("component").alias("other"))
             pairs = left.join(right, "key").where(F.col("component") < F.col("other"))
+        elif not fruitful:
+            return comp, opened.select("node").distinct()
         else:
             dealt = opened.withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / bucket)))
             drawn = dealt.groupBy("key", "part").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("o"), F.col("component").alias("other")), F.xxhash64("node", F.lit(turn), F.lit("drawn"))).alias("x"))
             pairs = dealt.join(drawn.select("key", "part", "x.*"), ["key", "part"]).where(F.col("component") != F.col("other"))
-        pairs = staged(pairs.where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
-        new = _alike(pairs, sets, similarity)
-        fruitful = new.count() * 16 >= pairs.count()
-        found = new if found is None else found.union(new)
-        comp = staged(connected_components(found, "a", "b"))
+        pairs = staged(pairs.where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), int(open_pairs if last else n_members))
+        n_pairs = pairs.count()
+        new = _alike(pairs, sets, similarity, n_pairs)
+        n_new = new.count()
+        fruitful = n_new * 16 >= n_pairs and n_new > 0
+        # Nodes that met before are one node by now, so only what is new has to be worked out again.
+        found = new if comp is None else new.union(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        before, comp = comp, staged(connected_components(found, "a", "b", most=n_new + n_members), n_members)
+        for used in (state if before is not None else None, held, pairs, new, before if turn else None):
+            dropped(used)
         if last:
-            return comp
+            return comp, None
         turn += 1
 
 
+def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """key, node, n, s: the shingles by which a node of ``nodes(node)`` can be alike to another one of them.
+
+    Shingles are put in one order, those in fewest sets first. Two sets of the similarity share one
+    of each one's first n - ceil(similarity * n) + 1 (Chaudhuri, Ganti and Kaushik, 2006); shingles
+    of one set alone take places there but join nothing, so a set of much that is its own has no
+    keys at all. s counts the shingles that other sets hold too.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for node, held in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(held.as_buffer(), "<u8").view(np.int64)
+                for at in range(0, len(x), 50_000):
+                    part = x[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(x)))], names=["key", "node", "n"])
+        released()
+
+    wanted = sets.select("node", "held").join(maybe_broadcast(nodes), "node", "left_semi")
+    tokens = staged(wanted.mapInArrow(run, "key long, node long, n long"))
+    often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    by = Window.partitionBy("node")
+    placed = tokens.join(often, "key").withColumn("place", F.row_number().over(by.orderBy("df", "key"))).withColumn("shared", F.count(F.lit(1)).over(by))
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    out = staged(placed.where(F.col("place") <= first - (F.col("n") - F.col("shared"))).select("key", "node", "n"))
+    dropped(tokens)
+    return out
+
+
+def jaccard_components(members: DataFrame, sets: DataFrame, similarity: float, bucket: int) -> DataFrame | None:
+    """node, component of all links among ``members(key, node, n, s)``: pairs of one key and a Jaccard similarity reached.
+
+    Buckets are settled by representatives as far as these link much: groups of copies, whatever
+    their size. What is left open are sets that meet by something common, such as a passage. These
+    meet again by their rarest shingles, which loses no pair either, and only the few that share
+    such a one are compared.
+    """
+    comp, left = _turns(members, None, sets, similarity, bucket, False)
+    if left is None:
+        return comp
+    keys = prefixes(staged(left), sets, similarity)
+    out = _turns(keys, comp, sets, similarity, bucket, True)[0]
+    dropped(keys)
+    return out
+
+
 def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, bucket: int = 16384) -> DataFrame:
-    """Groups of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more: doc_id, component_id.
+    """Groups of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    One row for each row of docs: doc_id, copy (a hash of its text), component_id (the smallest id
+    of its group) and component_copy (the hash that goes with it), so that rows which repeat an id
+    can be told apart.
 
     A few edited words change ``width`` shingles each, and an added passage moves a fingerprint of
     single words as well, so such pairs leave any SimHash radius that a covering family can afford.
     Candidates agree on all ``rows`` minimum hashes of one of ``bands`` bands, which a pair of
     similarity s misses with probability (1 - s ** rows) ** bands whatever the shape of the edit
-    (3 in a million at 0.8). Every link is verified on the whole sets before it counts.
+    (3 in a million at 0.8). Every link is verified on the whole sets before it counts; see
+    jaccard_components for buckets that grow large.
     Nulls, repeats and empty tables as in simhash_components.
     """
     cut = staged(sketches(docs, id_col, text_col, width, bands, rows))
-    nodes = staged(cut.groupBy("same").agg(F.min("id").alias("low"), F.min(F.struct("row", "n", "bands")).alias("x")).select("same", "low", F.col("x.row").alias("node"), "x.n", "x.bands"))
+    n = cut.count()
+    known = F.when(F.col("id").isNotNull(), F.struct("id", "copy"))
+    nodes = staged(cut.groupBy("same").agg(F.min(known).alias("low"), F.min(F.struct("row", "n", "bands")).alias("x")).select("same", "low", F.col("x.row").alias("node"), "x.n", "x.bands"), 8 * n)
     key = Window.partitionBy("key")
     each = nodes.where("low is not null").select("node", "n", F.explode("bands").alias("key"))
     each = each.select("node", "n", F.min("node").over(key).alias("first"), F.count(F.lit(1)).over(key).alias("many"), F.bit_xor(F.xxhash64("node")).over(key).alias("mark")).where("many > 1")
-    members = staged(each.select(F.xxhash64("first", "many", "mark").alias("key"), "node", "n").distinct())  # buckets of the same members are one
-    comp = jaccard_components(members, cut.select(F.col("row").alias("node"), "held"), similarity, bucket)
+    members = staged(each.select(F.xxhash64("first", "many", "mark").alias("key"), "node", "n").distinct(), bands * n)  # buckets of the same members are one
+    comp = jaccard_components(members, cut.select(F.col("row").alias("node"), "lanes", "held"), similarity, bucket)
     ids = nodes.select("same", "low", F.col("node").alias("component")) if comp is None else nodes.join(comp, "node", "left").select("same", "low", F.coalesce("component", "node").alias("component"))
-    lows = ids.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = staged(ids.join(lows, "component").select("same", "component_id"))
-    return cut.select(F.col("id").alias("doc_id"), "same").join(ids, "same").select("doc_id", "component_id")
+    lows = ids.groupBy("component").agg(F.min("low").alias("lowest"))
+    ids = staged(ids.join(lows, "component").select("same", "lowest"), 2 * n)
+    out = cut.select(F.col("id").alias("doc_id"), "copy", "same").join(ids, "same")
+    out = staged(out.select("doc_id", "copy", F.col("lowest.id").alias("component_id"), F.col("lowest.copy").alias("component_copy")), 2 * n)
+    for used in (cut, nodes, members, comp, ids):
+        dropped(used)
+    return out
