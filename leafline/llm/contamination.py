@@ -1,14 +1,16 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in DataFrame operations.
 
 A test item of n distinct word shingles counts as leaked if at least ``threshold`` of them stand
-in a document. Items are partitioned by n, and an item of a partition is sketched by its
-n - ceil(threshold * n) + 1 smallest hashes (a bottom-k MinHash). A document that holds threshold
-of an item's shingles misses at most n - ceil(threshold * n) of them, so it holds at least one of
-the sketch: the search finds every pair, whatever the document's length. Candidates are then
-verified by exact containment over all the item's shingles.
-
-Both searches are equi joins on 64-bit hashes of shingles, and the verification compares only
-candidate documents. The item side is broadcast when it is counted to be small.
+in a document. Items are partitioned by size (classes of powers of two), and each class has sketch
+parameters of its own: an item is sketched by its n - need + r smallest hashes (a bottom-k
+MinHash), where r grows with the class. A document that holds ``need`` = ceil(threshold * n)
+shingles misses at most n - need, so r hashes of the sketch stand in it at least: no pair is lost,
+however long the document, and short items ask for one common hash while long ones ask for
+several. The documents' side of the search is a MinHash sketch too: of each document only the
+hashes up to the largest that any class's sketches hold take part.
+
+Candidates are verified by exact containment, on the words of all the item's shingles. The item
+side is broadcast where it is counted to be small.
 """
 
 from __future__ import annotations
@@ -22,35 +24,47 @@ from .common import maybe_broadcast, staged
 GAPS = r"[^\p{L}\p{N}]+"
 
 
-def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS), lambda w: w != "")
 
 
-def shingle_hashes(text: Column, width: int) -> Column:
-    """Hashes of the runs of ``width`` words; empty if there are fewer words.
+def _runs(df: DataFrame, of: Column, width: int, *keys: str) -> DataFrame:
+    """keys and w0 to w{width - 1}: each run of ``width`` elements of an array, side by side."""
+    held = df.select(*keys, of.alias("run")).where(F.size("run") >= width)
+    n = F.greatest(F.size("run") - width + 1, F.lit(0))
+    return held.select(*keys, F.inline(F.arrays_zip(*(F.slice("run", k + 1, n).alias(f"w{k}") for k in range(width)))))
 
-    Joined in pairs, so that a run of width words takes about log2(width) steps.
+
+def shingle_hashes(df: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
+    """keys and h, a hash of each run of ``width`` words, repeats included; none if there are fewer words.
+
+    Words are hashed once; runs are columns side by side, so that hashing them is compiled code.
     """
-    return _runs(word_hashes(text), width)
+    hashed = F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w))
+    return _runs(df, hashed, width, *keys).select(*keys, F.xxhash64(*(f"w{k}" for k in range(width))).alias("h"))
+
 
+def shingles(df: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
+    """keys, h and shingle: distinct runs of words with the hashes of shingle_hashes."""
+    w = [f"w{k}" for k in range(width)]
+    return _runs(df, words_of(F.col(text)), width, *keys).select(*keys, F.xxhash64(*(F.xxhash64(x) for x in w)).alias("h"), F.concat_ws(" ", *w).alias("shingle")).distinct()
 
-def _runs(words: Column, width: int) -> Column:
-    def join(left: Column, n_left: int, right: Column) -> Column:
-        """Runs of both, right's beginning where left's end."""
-        late = F.slice(right, n_left + 1, F.greatest(F.size(right) - n_left, F.lit(0)))
-        both = F.zip_with(left, late, lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
-        return F.filter(both, lambda x: x.isNotNull())
 
-    if width == 1:
-        return words
-    half = width // 2
-    one = _runs(words, half)
-    two = join(one, half, one)
-    return two if width % 2 == 0 else join(two, width - 1, words)
+def sketched(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(sizes(item_id, n_shingles, need, r), sketches(item_id, h)) of items(item_id, h, shingle)."""
+    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_shingles"), F.sort_array(F.collect_list("h")).alias("hs"))
+    n, need = F.col("n_shingles"), F.ceil(F.col("n_shingles") * threshold - 1e-9).cast("int")
+    size_class = F.floor(F.log2(n))
+    r = F.least(F.greatest(F.pow(F.lit(2), size_class - 3), F.lit(1)).cast("int"), need)
+    sizes = staged(sizes.withColumn("need", need).withColumn("r", r), items.count())
+    hashes = F.slice("hs", 1, n.cast("int") - F.col("need") + F.col("r"))  # an item's hashes are one short sorted array
+    return sizes.drop("hs"), staged(sizes.select("item_id", F.explode(hashes).alias("h")), items.count())
 
 
-def leaked_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+def leaked_items(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    width: int = 5, threshold: float = 0.8,
+) -> DataFrame:
     """Pairs of documents and items they hold: doc_id, item_id, n_shingles, n_found, containment.
 
     Words are runs of letters and digits, lower-cased. Repeats of a shingle count once.
@@ -60,19 +74,23 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     document; repeated item ids as one item of all their shingles; null ids are left out; other
     columns are not read; an empty table on either side gives no rows.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.explode(shingle_hashes(F.col(item_text), width)).alias("h")).where("item_id is not null").distinct()
-    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_shingles")).withColumn("need", F.ceil(F.col("n_shingles") * threshold - 1e-9).cast("int"))
-    # The partition by size fixes the sketch's length; an item's hashes are one short sorted array.
-    sketched = items.groupBy("item_id").agg(F.sort_array(F.collect_list("h")).alias("hs")).join(sizes, "item_id").select("item_id", "need", "n_shingles", F.explode(F.slice("hs", 1, F.col("n_shingles").cast("int") - F.col("need") + 1)).alias("h"))
-    items, sketched = staged(items.join(sizes, "item_id")), staged(sketched.select("item_id", "h"))
-    sketch = maybe_broadcast(sketched.select("h").distinct())
+    named = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null")
+    items = staged(shingles(named, "text", width, "item_id"), 100 * named.count())
+    sizes, sketches = sketched(items, threshold)
+    top = sketches.agg(F.max("h")).first()[0]
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    runs = held.select("doc_id", F.explode(shingle_hashes(F.col("text"), width)).alias("h"))
-    hits = runs.join(sketch, "h", "left_semi").distinct()
-    pairs = staged(hits.join(maybe_broadcast(sketched), "h").select("doc_id", "item_id").distinct())
-    whole = items.select("item_id", "h", "n_shingles", "need")
-    asked = pairs.join(maybe_broadcast(whole), "item_id")
-    again = held.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(shingle_hashes(F.col("text"), width))).alias("h"))
-    known = again.join(maybe_broadcast(items.select("h").distinct()), "h", "left_semi").distinct()
-    found = asked.join(known, ["doc_id", "h"]).groupBy("doc_id", "item_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("need").alias("need"), F.count(F.lit(1)).alias("n_found"))
-    return found.where("n_found >= need").select("doc_id", "item_id", "n_shingles", "n_found", F.round(F.col("n_found") / F.col("n_shingles"), 6).alias("containment"))
+    if top is None:
+        top = -(1 << 63)
+
+    # The document's sketch: hashes up to the largest that any class asks for.
+    runs = shingle_hashes(held, "text", width, "doc_id").where(F.col("h") <= F.lit(top))
+    hits = runs.join(maybe_broadcast(sketches), "h").groupBy("doc_id", "item_id", "h").agg(F.lit(1).alias("x"))
+    pairs = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits")).join(maybe_broadcast(sizes), "item_id")
+    pairs = staged(pairs.where(F.col("hits") >= F.col("r")).select("doc_id", "item_id", "n_shingles", "need"))
+
+    asked = pairs.join(maybe_broadcast(items), "item_id")
+    again = held.join(maybe_broadcast(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
+    known = shingles(again, "text", width, "doc_id").join(maybe_broadcast(items.select("h").distinct()), "h", "left_semi")
+    found = asked.join(known, ["doc_id", "h", "shingle"]).groupBy("doc_id", "item_id")
+    counted = found.agg(F.first("n_shingles").alias("n_shingles"), F.first("need").alias("need"), F.count(F.lit(1)).alias("n_found"))
+    return counted.where("n_found >= need").select("doc_id", "item_id", "n_shingles", "n_found", F.round(F.col("n_found") / F.col("n_shingles"), 6).alias("containment"))
