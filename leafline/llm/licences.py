@@ -9,6 +9,8 @@ from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
+from .common import released
+
 #: Upper case to lower case and every other ASCII sign to a space; bytes from 0x80 up stay.
 WORDS = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 
@@ -39,19 +41,37 @@ NOTICES = {
 TAG = "spdx license identifier"
 TAGGED = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.I)
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+#: Identifiers that are bare words; all others hold a version or name a reference.
+BARE = frozenset(
+    """0bsd afl aladdin bcl beerware blessing bsd bsl cc0 curl ecos eudatagrid fair ftl gl2ps glide gnuplot hpnd ibm-pibs
+    icu ijg imagemagick intel info-zip isc jasper json latex2e leptonica libpng libtiff linux-openib mit mit-0 mit-cmu
+    mulanpsl naist-2003 ncsa ngpl nokia noweb ntp openssl plexus postgresql psutils qhull rsa-md ruby sax-pd
+    sendmail sgi-b smlnj snia spencer-86 ssh-openssh sunpro tcl tcp-wrappers tmate unlicense vim vostrom w3c wtfpl x11 xerox xfig
+    xinetd xpp zed zend zlib""".split()
+)
+#: Shapes of the other identifiers and of exceptions.
+VERSIONED = re.compile(r"[a-z][a-z0-9]*(?:-[a-z0-9.]+)*-[0-9]+(?:\.[0-9]+)*[a-z]?(?:-[a-z0-9.]+)*\+?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
+EXCEPTION = re.compile(r"[a-z0-9][a-z0-9.-]*-(?:exception|note)(?:-[0-9.]+)?|additionref-[a-z0-9.-]+")
 #: How strongly the operators bind.
 BINDS = {"or": 1, "and": 2, "with": 3}
 SCORES = {"cc-by": 0.8, "gpl": 0.9, "reserved": 0.5}
 
 
+def is_licence(word: str) -> bool:
+    return word.removesuffix("+") in BARE or VERSIONED.fullmatch(word) is not None
+
+
 def parse_expression(text: str) -> tuple[list[str], list[str]] | None:
     """(licences, exceptions) that the expression at the start of text names, or None if it is none.
 
-    Shunting-yard: operands go to the output and operators wait on a stack by how they bind; the
-    first token that cannot follow ends the expression, as prose may stand behind it.
+    Shunting-yard: operands go to the output and operators wait on a stack by how they bind. Only
+    identifiers of the standard's list or shape are operands, as prose may stand behind an
+    expression: it ends at the first token that cannot follow, and before an ``and``, ``or`` or
+    ``with`` in small letters that joins nothing to it.
     """
     out: list[tuple] = []
     stack: list[str] = []
+    tokens = [m[0] for m in TOKEN.finditer(text)]
 
     def apply() -> bool:
         op = stack.pop()
@@ -59,46 +79,55 @@ def parse_expression(text: str) -> tuple[list[str], list[str]] | None:
             return False
         b, a = out.pop(), out.pop()
         if op == "with":
-            if len(a[0]) != 1 or len(b[0]) != 1 or a[1] or b[1]:
+            if len(a[0]) != 1 or a[1] or b[0]:
                 return False
-            out.append((a[0], b[0]))
+            out.append((a[0], b[1]))
         else:
+            if not a[0] or not b[0]:
+                return False
             out.append((a[0] + b[0], a[1] + b[1]))
         return True
 
-    wants = True  # an operand
-    for m in TOKEN.finditer(text):
-        t, low = m[0], m[0].lower()
-        if low in BINDS:
-            if wants:
+    def operand(k: int, after: str) -> bool:
+        low = tokens[k].lower() if k < len(tokens) else ""
+        return EXCEPTION.fullmatch(low) is not None if after == "with" else low == "(" or low not in BINDS and is_licence(low)
+
+    wants, last = True, ""  # an operand, and what it stands behind
+    for k, t in enumerate(tokens):
+        low = t.lower()
+        if low in BINDS and not wants:
+            if not operand(k + 1, low):
+                if t == low:  # prose
+                    break
                 return None
             while stack and stack[-1] != "(" and BINDS[stack[-1]] >= BINDS[low]:
                 if not apply():
                     return None
             stack.append(low)
-            wants = True
-        elif t == "(":
-            if not wants:
-                break
-            stack.append(t)
-        elif t == ")":
-            if wants or "(" not in stack:
+            wants, last = True, low
+        elif t == ")" and not wants:
+            if "(" not in stack:
                 break
             while stack[-1] != "(":
                 if not apply():
                     return None
             stack.pop()
-        elif wants:
-            out.append(([low], []))
-            wants = False
-        else:
+        elif not wants:
             break
+        elif not operand(k, last):
+            return None
+        elif t == "(":
+            stack.append(t)
+            last = ""
+        else:
+            out.append(([], [low]) if last == "with" else ([low], []))
+            wants = False
     if wants:
         return None
     while stack:
         if stack[-1] == "(" or not apply():
             return None
-    return out[0] if len(out) == 1 else None
+    return out[0] if len(out) == 1 and out[0][0] else None
 
 
 def automaton():
@@ -157,5 +186,6 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = [scan(t.as_py(), find) for t in b.column(1)]
             cols = [b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in list(types.items())[1:])]
             yield pa.RecordBatch.from_arrays(cols, names=list(types))
+        released()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
