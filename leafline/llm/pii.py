@@ -7,7 +7,8 @@ PMI(c; t) = log2(p(c, t) / (p(c) p(t))) is what t tells, where (c, t) means that
 ``window`` words of an entity of kind c. The disclosure PMI / IC is 1 if t never stands elsewhere.
 Terms at or above ``remove`` are removed near such an entity, those at or above ``generalise`` are
 replaced by what they stand for, however rare: a name that stands once, beside its address,
-reveals all of it. ``support`` can ask for more documents near the entity than one.
+reveals all of it. ``support`` can ask for more documents near the entity than one. A term is a
+run of three or more letters of any script: shorter words and numbers are never terms.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import staged
+from .common import released, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: An email's domain part; the local part is what stands before it. Equal to a search for the
@@ -32,7 +34,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
 #: Distinct terms that a task holds before it passes their counts on.
-HELD = 200_000
+HELD = 100_000
+NAMES = ("row", "doc_id", "spans", "near", "term", "kind", "n")
+EVENTS = "row long, doc_id long, spans array<struct<kind:string,start:long,stop:long>>, near array<struct<kind:string,term:string,start:long,stop:long>>, term string, kind string, n long"
 
 
 def luhn(digits: str) -> bool:
@@ -87,23 +91,27 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _events(window: int) -> Callable:
-    """Rows of two sorts from one reading of the texts: a document's spans, and counts of terms over a task."""
+    """Rows of two sorts from one reading of the texts: a document's spans, and counts of terms over a task.
+
+    Columns beyond row, doc_id and text pass through with the documents' rows.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         near_type = pa.list_(pa.struct([("kind", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
         span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
-        names = ["row", "doc_id", "spans", "near", "term", "kind", "n"]
 
-        def counted(counts):
+        def counted(counts, carried):
             n = len(counts)
             terms, kinds = [t for t, _ in counts], [k for _, k in counts]
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, span_type), pa.nulls(n, near_type), pa.array(terms, pa.string()), pa.array(kinds, pa.string()), pa.array(list(counts.values()), pa.int64())], names=names)
+            cols = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, span_type), pa.nulls(n, near_type), pa.array(terms, pa.string()), pa.array(kinds, pa.string()), pa.array(list(counts.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(n, f.type) for f in carried)], names=[*NAMES, *(f.name for f in carried)])
 
         counts: dict[tuple[str, str], int] = {}
+        carried: list = []
         for b in batches:
-            spans, nears = [], []
+            spans, nears, carried = [], [], list(b.schema)[3:]
             for t in b.column(2):
                 text = t.as_py() or ""
                 s = base_spans(text)
@@ -113,12 +121,15 @@ def _events(window: int) -> Callable:
                 for key in [(w, "") for w in set(WORD.findall(text.lower()))] + list({(w, k) for k, w, _, _ in near}) + [("", k) for k in {k for k, _, _ in s}] + [("", "")]:
                     counts[key] = counts.get(key, 0) + 1
                 if len(counts) > HELD:
-                    yield counted(counts)
+                    yield counted(counts, carried)
                     counts = {}
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span_type), pa.array(nears, near_type), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
+            cols = [b.column(0), b.column(1), pa.array(spans, span_type), pa.array(nears, near_type), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[3:]], names=[*NAMES, *(f.name for f in carried)])
         if counts:
-            yield counted(counts)
+            yield counted(counts, carried)
+        counts = {}
+        released()
 
     return run
 
@@ -131,9 +142,18 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Defined cases: a null text counts as empty; a failing match is dropped and not retried; null
     ids keep their rows; other columns are not read; an empty table gives no rows.
     """
-    read = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    schema = "row long, doc_id long, spans array<struct<kind:string,start:long,stop:long>>, near array<struct<kind:string,term:string,start:long,stop:long>>, term string, kind string, n long"
-    events = staged(read.mapInArrow(_events(window), schema))
+    events = staged(_read(docs, id_col, text_col, window))
+    return _found(events, support, generalise, remove).select("row", "doc_id", "spans", "terms")
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str, window: int, *carried: Column) -> DataFrame:
+    read = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *carried)
+    schema = StructType([*_parse_datatype_string(EVENTS).fields, *read.schema.fields[3:]])
+    return read.mapInArrow(_events(window), StructType([StructField(f.name, f.dataType, True) for f in schema]))
+
+
+def _found(events: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """The documents' rows of events with terms: the near ones that disclose their kind of entity."""
     found = events.where("term is null")
     per_term = events.where("term is not null").groupBy("term", "kind").agg(F.sum("n").alias("n"))
     totals = {r["kind"]: r["n"] for r in per_term.where("term = ''").collect()}  # five rows
@@ -149,7 +169,8 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = found.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.term", "x.kind", "x.start", "x.stop")
     hits = near.join(flagged, ["term", "kind"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("kind"), F.col("start"), F.col("stop"), (F.col("disclosure") >= remove).alias("removed")))).alias("terms"))
     none = F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,removed:boolean>>")
-    return found.select("row", "doc_id", "spans").join(hits, "row", "left").withColumn("terms", F.coalesce("terms", none))
+    told = found.where("size(near) > 0").join(hits, "row", "left").withColumn("terms", F.coalesce("terms", none))
+    return told.unionByName(found.where("size(near) = 0").withColumn("terms", none))  # most documents take no part in the join
 
 
 def _log2(x: float) -> float:
@@ -158,45 +179,38 @@ def _log2(x: float) -> float:
     return log2(x)
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 4, support: int = 1, generalise: float = 0.9, remove: float = 0.98) -> DataFrame:
     """docs with the text rewritten: entities to ``[KIND]``, terms removed or to ``[TERM]``.
 
-    The columns stay; ``n_chars`` is brought up to date where there is one. The spans come back by
-    document id, so ids must be unique; a null id leaves its base spans rewritten only.
+    The columns stay; ``n_chars`` is brought up to date where there is one. The rows travel with
+    their spans, so null and repeated ids are rewritten like any other.
     """
-    found = find_private(docs, id_col, text_col, **how).where("doc_id is not null and size(terms) > 0").groupBy("doc_id").agg(F.first("terms").alias("leafline_terms"))
-    names = docs.columns
-    keyed = docs.withColumn("leafline_id", F.col(id_col).cast("long"))
-    wide = keyed.join(found.withColumnRenamed("doc_id", "leafline_id"), "leafline_id", "left")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("leafline_row")
+    found = _found(staged(_read(docs, id_col, text_col, window, whole)), support, generalise, remove)
 
     @F.pandas_udf("string")
-    def clean(texts, terms):
+    def clean(texts, spans, terms):
         import pandas as pd
 
         out = []
-        for text, more in zip(texts, terms):
-            if text is None:
-                out.append(None)
-                continue
-            cuts = [(s, e, f"[{k.upper()}]") for k, s, e in base_spans(text)]
-            if more is not None:
-                cuts += [(x["start"], x["stop"], "" if x["removed"] else "[TERM]") for x in more]
-            if cuts:
-                parts, at = [], 0
-                for s, e, mark in sorted(cuts, key=lambda c: (c[0], -c[1])):
-                    if s >= at:
-                        parts += [text[at:s], mark]
-                        at = e
-                    elif e > at:  # kinds may overlap: the rest of the later span goes too
-                        at = e
-                text = "".join([*parts, text[at:]])
-            out.append(text)
+        for text, base, more in zip(texts, spans, terms):
+            cuts = [(x["start"], x["stop"], f"[{x['kind'].upper()}]") for x in base]
+            cuts += [(x["start"], x["stop"], "" if x["removed"] else "[TERM]") for x in more]
+            parts, at = [], 0
+            for s, e, mark in sorted(cuts, key=lambda c: (c[0], -c[1])):
+                if s >= at:
+                    parts += [text[at:s], mark]
+                    at = e
+                elif e > at:  # kinds may overlap: the rest of the later span goes too
+                    at = e
+            out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    out = wide.withColumn(text_col, clean(F.col(text_col), F.col("leafline_terms")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(names)
+    told = found.where("size(spans) > 0").withColumn("leafline_text", clean(F.col("leafline_row")[text_col].cast("string"), "spans", "terms"))
+    told = told.select("leafline_text", "leafline_row").unionByName(found.where("size(spans) = 0").select(F.col("leafline_row")[text_col].cast("string").alias("leafline_text"), "leafline_row"))
+    size = {"n_chars": lambda kind: F.length("leafline_text").cast(kind)} if "n_chars" in docs.columns else {}
+    column = lambda f: F.col("leafline_text") if f.name == text_col else size[f.name](f.dataType) if f.name in size else F.col("leafline_row")[f.name]
+    return told.select(*(column(f).alias(f.name) for f in docs.schema))
 
 
 def digests(found: DataFrame) -> DataFrame:
