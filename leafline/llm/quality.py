@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
 from .training import Adam, fold, labelled_sample, sigmoid, threshold
 
 #: Filter width in bytes, filters, size of a byte's embedding; chunk and how far the next one begins.
@@ -50,19 +51,31 @@ class ByteNet:
         single = np.stack([p["bytes"] @ w[j] for j in range(WIDTH)])  # WIDTH, 256, FILTERS
         self.tables = [(single[2 * j][:, None, :] + single[2 * j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(k)]
 
-    def maxima(self, c):
-        """Maximum of each filter in each chunk."""
-        import numpy as np
-
-        out = []
+    def windows(self, c):
+        """Sums of each filter at every second byte of blocks of chunks."""
         for at in range(0, len(c), BLOCK):
             q = pairs(c[at : at + BLOCK])
             n = q.shape[1] - len(self.tables) + 1
             s = self.tables[0][q[:, :n]]
             for j, t in enumerate(self.tables[1:], 1):
                 s += t[q[:, j : j + n]]
-            out.append(np.maximum(s.max(axis=1) + self.p["shift"], 0))
-        return np.concatenate(out)
+            yield s
+
+    def maxima(self, c):
+        """Maximum of each filter in each chunk."""
+        import numpy as np
+
+        return np.concatenate([np.maximum(s.max(axis=1) + self.p["shift"], 0) for s in self.windows(c)])
+
+    def tops(self, c):
+        """Where each filter's maximum stands in each chunk, and the maximum before it is cut at zero."""
+        import numpy as np
+
+        where, value = [], []
+        for s in self.windows(c):
+            where.append(s.argmax(axis=1))
+            value.append(np.take_along_axis(s, where[-1][:, None, :], 1)[:, 0] + self.p["shift"])
+        return np.concatenate(where), np.concatenate(value)
 
     def logit(self, text: bytes | None) -> float:
         m = self.maxima(chunks(text))
@@ -83,35 +96,27 @@ def train(sample: list, shares: dict, decision: float, *, epochs: int = 5, batch
     for _ in range(epochs):
         order = rng.permutation(len(fit))
         for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            net = ByteNet(p)
-            grads = {k: np.zeros_like(v) for k, v in p.items()}
-            for i in some:
-                c, y = fit[i]
-                q, k = pairs(c), WIDTH // 2
-                n = q.shape[1] - k + 1
-                s = net.tables[0][q[:, :n]]
-                for j in range(1, k):
-                    s += net.tables[j][q[:, j : j + n]]
-                where = s.argmax(axis=1)  # chunks, filters
-                v = np.take_along_axis(s, where[:, None, :], 1)[:, 0] + p["shift"]
-                m = np.maximum(v, 0)
-                top = m.argmax(axis=0)
-                d = float(sigmoid(m.mean(axis=0) @ p["mean"] + m[top, cols] @ p["most"] + p["bias"][0]) - y) / len(some)
-                grads["bias"] += d
-                grads["mean"] += d * m.mean(axis=0)
-                grads["most"] += d * m[top, cols]
-                up = np.tile(d * p["mean"] / len(c), (len(c), 1))
-                up[top, cols] += d * p["most"]
-                up *= v > 0
-                grads["shift"] += up.sum(axis=0)
-                at_bytes = 2 * where[:, :, None] + np.arange(WIDTH)  # chunks, filters, WIDTH
-                found = c[np.arange(len(c))[:, None, None], at_bytes]
-                e = p["bytes"][found]  # chunks, filters, WIDTH, DIM
-                grads["filters"] += np.einsum("cf,cfk->kf", up, e.reshape(len(c), FILTERS, -1))
-                back = up[:, :, None] * p["filters"].T[None]  # chunks, filters, WIDTH * DIM
-                np.add.at(grads["bytes"], found.ravel(), back.reshape(-1, DIM))
-            adam.step(grads)
+            some = [fit[i] for i in order[at : at + batch]]
+            c, y = np.concatenate([x for x, _ in some]), np.array([y for _, y in some])  # a batch's chunks stand behind each other
+            sizes = np.array([len(x) for x, _ in some])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            where, v = ByteNet(p).tops(c)
+            m = np.maximum(v, 0)
+            mean, most = np.add.reduceat(m, starts) / sizes[:, None], np.maximum.reduceat(m, starts)
+            first = np.where(m == np.repeat(most, sizes, axis=0), np.arange(len(c))[:, None], len(c))
+            top = np.minimum.reduceat(first, starts)  # texts, filters
+            d = (sigmoid(mean @ p["mean"] + most @ p["most"] + p["bias"][0]) - y) / len(some)
+            up = np.repeat(d / sizes, sizes)[:, None] * p["mean"]
+            up[top, cols] += d[:, None] * p["most"]
+            up *= v > 0
+            found = c[np.arange(len(c))[:, None, None], 2 * where[:, :, None] + np.arange(WIDTH)]  # chunks, filters, WIDTH
+            e = p["bytes"][found].reshape(len(c), FILTERS, -1)
+            back = (up[:, :, None] * p["filters"].T[None]).reshape(-1, DIM)
+            grads = {
+                "bias": d.sum(keepdims=True), "mean": d @ mean, "most": d @ most, "shift": up.sum(axis=0), "filters": np.einsum("cf,cfk->kf", up, e),
+                "bytes": np.stack([np.bincount(found.ravel(), weights=back[:, k], minlength=256) for k in range(DIM)], axis=1),
+            }
+            adam.step({k: g.astype(np.float32) for k, g in grads.items()})
     net = ByteNet(p)
     told = [(net.logit(t), y) for t, y, f in sample if f == 1]
     cut = 0.0
@@ -133,6 +138,7 @@ def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         net = ByteNet(m["params"]) if m else None
         for texts in batches:
             yield pd.Series([float(sigmoid(net.logit(t) + m["shift"])) if net else 0.0 for t in texts], dtype=float)
+        released()
 
     return score
 

@@ -2,10 +2,9 @@
 
 Words are hashed to embeddings, with a second embedding for the hash of their first letters, which
 inflected forms share. Filters of several widths slide over the whole text, each keeps its
-maximum, and a logistic unit combines the maxima. The first embedding dimension starts from the
-log odds of the hash in the training sample; everything is then trained by Adam. The decision
-threshold is set for each language, which is inferred from the text's own function words, on
-labelled rows that the gradient has not seen, and moved to a score of 0.5.
+maximum, and a logistic unit combines the maxima. All of it starts at random and is trained by
+Adam. The decision threshold is set for each language, which is inferred from the text's own
+function words, on labelled rows that the gradient has not seen, and moved to a score of 0.5.
 """
 
 from __future__ import annotations
@@ -17,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
 from .licences import WORDS
 from .training import Adam, fold, labelled_sample, sigmoid, threshold
 
-BUCKETS, STEMS, STEM = 1 << 16, 1 << 15, 5
+BUCKETS, STEMS, STEM = 1 << 16, 1 << 15, 4
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 8
 #: Words scored at a time; neighbouring blocks overlap by the widest filter.
 BLOCK = 1 << 16
@@ -105,8 +105,12 @@ def _columns():
         at += w * FILTERS
 
 
-def train(sample: list, shares: dict, *, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 5) -> dict | None:
-    """Parameters and thresholds from [(text, label, fold)]; None without both classes."""
+def train(sample: list, shares: dict, *, epochs: int = 12, batch: int = 32, rate: float = 0.05, seed: int = 5) -> dict | None:
+    """Parameters and thresholds from [(text, label, fold)]; None without both classes.
+
+    Everything starts at random. A batch's texts stand behind each other in one array; windows that
+    would reach from one into the next are left out of the maxima.
+    """
     import numpy as np
 
     ids = Ids()
@@ -115,63 +119,52 @@ def train(sample: list, shares: dict, *, epochs: int = 6, batch: int = 32, rate:
     if len({y for _, y in fit}) < 2:
         return None
     rng = np.random.default_rng(seed)
-    odds = {}
-    for name, size, get in (("words", BUCKETS, lambda x: x // STEMS), ("stems", STEMS, lambda x: x % STEMS)):
-        seen = np.ones((2, size))
-        for x, y in fit:
-            seen[y, np.unique(get(x))] += 1
-        n = [sum(1 for _, y in fit if y == k) for k in (0, 1)]
-        raw = np.log(seen[1] / (n[1] + 2)) - np.log(seen[0] / (n[0] + 2))
-        odds[name] = np.sign(raw) * np.maximum(np.abs(raw) - 1, 0)  # what one or two rows can do is noise
-    cols = sum(WIDTHS) * FILTERS
+    cols, total = sum(WIDTHS) * FILTERS, len(WIDTHS) * FILTERS
     p = {
         "words": rng.normal(0, 0.05, (BUCKETS, DIM)), "stems": rng.normal(0, 0.05, (STEMS, DIM)), "filters": rng.normal(0, 0.3, (DIM, cols)),
-        "shift": np.zeros(len(WIDTHS) * FILTERS), "out": rng.normal(0, 0.3, len(WIDTHS) * FILTERS), "bias": np.array([-1.0]),
+        "shift": np.zeros(total), "out": np.abs(rng.normal(0, 0.3, total)) * np.where(np.arange(total) % 2, -1, 1), "bias": np.array([-1.0]),
     }
-    p["words"][:, 0], p["stems"][:, 0] = odds["words"] / 2, odds["stems"] / 2
-    p["filters"][0, :FILTERS] = np.abs(p["filters"][0, :FILTERS]) + 0.3
-    p["out"][:FILTERS] = np.abs(p["out"][:FILTERS])
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    adam = Adam(p, rate)
-    columns = list(_columns())
-    for _ in range(epochs):
+    adam, columns, every = Adam(p, rate), list(_columns()), np.arange(FILTERS)
+    for epoch in range(epochs):
+        adam.rate = rate * (1 - epoch / epochs)
         order = rng.permutation(len(fit))
         for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            grads = {k: np.zeros_like(p[k]) for k in ("filters", "shift", "out", "bias")}
-            touched: dict = {"words": ([], []), "stems": ([], [])}
-            for i in some:
-                x, y = fit[i]
-                b, s = x // STEMS, x % STEMS
-                e = p["words"][b] + p["stems"][s]
-                g = e @ p["filters"]
-                best, where = np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS, -1)
-                for k, (w, c) in enumerate(columns):
-                    if len(x) >= w:
-                        r = sum(g[j : len(x) - w + 1 + j, c + j * FILTERS : c + (j + 1) * FILTERS] for j in range(w))
-                        t = r.argmax(axis=0)
-                        cut = slice(k * FILTERS, (k + 1) * FILTERS)
-                        v = r[t, np.arange(FILTERS)] + p["shift"][cut]
-                        best[cut], where[cut] = np.maximum(v, 0), np.where(v > 0, t, -1)
-                d = float(sigmoid(best @ p["out"] + p["bias"][0]) - y) / len(some)
-                grads["out"] += d * best
-                grads["bias"] += d
-                up = d * p["out"] * (where >= 0)
-                grads["shift"] += up
-                for k, (w, c) in enumerate(columns):
-                    for f in range(FILTERS):
-                        u = up[k * FILTERS + f]
-                        if u:
-                            t = where[k * FILTERS + f]
-                            for j in range(w):
-                                col = c + j * FILTERS + f
-                                grads["filters"][:, col] += u * e[t + j]
-                                row = u * p["filters"][:, col]
-                                touched["words"][0].append(b[t + j])
-                                touched["words"][1].append(row)
-                                touched["stems"][0].append(s[t + j])
-                                touched["stems"][1].append(row)
-            grads |= {k: (np.array(r), np.array(v, np.float32)) for k, (r, v) in touched.items() if r}
+            some = [fit[i] for i in order[at : at + batch]]
+            x, y = np.concatenate([t for t, _ in some]), np.array([y for _, y in some])
+            sizes = np.array([len(t) for t, _ in some])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            left = np.repeat(starts + sizes, sizes) - np.arange(len(x))  # words from here to the text's end
+            b, s = x // STEMS, x % STEMS
+            e = p["words"][b] + p["stems"][s]
+            g = e @ p["filters"]
+            best, where = np.zeros((len(some), total), np.float32), np.zeros((len(some), total), np.int64)
+            for k, (w, c) in enumerate(columns):
+                r = np.zeros((len(x), FILTERS), np.float32)
+                for j in range(w):
+                    r[: len(x) - j] += g[j:, c + j * FILTERS : c + (j + 1) * FILTERS]
+                r[left < w] = -np.inf
+                top = np.maximum.reduceat(r, starts)
+                first = np.where(r == np.repeat(top, sizes, axis=0), np.arange(len(x))[:, None], len(x))
+                cut = slice(k * FILTERS, (k + 1) * FILTERS)
+                best[:, cut] = np.maximum(top + p["shift"][cut], 0)
+                where[:, cut] = np.minimum.reduceat(first, starts)
+            d = ((sigmoid(best @ p["out"] + p["bias"][0]) - y) / len(some)).astype(np.float32)
+            up = d[:, None] * p["out"] * (best > 0)
+            grads = {"out": d @ best, "bias": d.sum(keepdims=True), "shift": up.sum(axis=0), "filters": np.zeros_like(p["filters"])}
+            touched, values = [], []
+            for k, (w, c) in enumerate(columns):
+                cut = slice(k * FILTERS, (k + 1) * FILTERS)
+                live, f = np.nonzero(up[:, cut])
+                u, t = up[:, cut][live, f], where[:, cut][live, f]
+                for j in range(w):
+                    at_col = c + j * FILTERS + f
+                    np.add.at(grads["filters"].T, at_col, u[:, None] * e[t + j])
+                    touched.append(t + j)
+                    values.append(u[:, None] * p["filters"].T[at_col])
+            touched, values = np.concatenate(touched), np.concatenate(values)
+            if len(touched):
+                grads |= {"words": (b[touched], values), "stems": (s[touched], values)}
             adam.step(grads)
     net, tables = TextNet(p), function_ids()
     told = [(net.logit(x), y, language_of(x, tables)) for x, y, f in rows if f == 1]
@@ -208,6 +201,8 @@ def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         for texts in batches:
             yield pd.Series([one(t) if net else 0.0 for t in texts], dtype=float)
+        ids.clear()
+        released()
 
     return score
 

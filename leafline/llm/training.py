@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Labelled rows that a model learns from, half of each class at most, and the longest such text.
-#: Both are bounds of training only: every row of the input is scored, and over its whole text.
-SAMPLE_ROWS, SAMPLE_BYTES = 8000, 24_000
+#: Labelled rows that a model learns from, half of each class at most, taken by a hash of the id,
+#: and the bytes that all of them may have together: the rows beyond are left out whatever their
+#: length. Both bound training only: every row of the input is scored, and over its whole text.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 64 << 20
 
 
 def fold(doc_id: Column) -> Column:
@@ -17,7 +18,9 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES) -> tuple[list, dict[int, float]]:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES
+) -> tuple[list, dict[int, float]]:
     """[(text bytes, label, fold)] of a bounded sample by hash of the id, and each class's share of all labels.
 
     Labels of held-out rows are filtered out before anything is counted. Null labels and ids are no labels.
@@ -32,12 +35,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str
         picked = some if picked is None else picked.union(some)
     if picked is None:
         return [], {}
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where(F.length("text") <= longest)
-    joined = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"])  # at most 4 * rows ids are broadcast
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    found = texts.join(F.broadcast(picked), "id")  # at most 4 * rows ids are broadcast
+    found = staged(found.groupBy("id", "y").agg(F.max(F.struct(F.length("text").alias("size"), F.xxhash64("text").alias("h"), "text")).alias("x")).select("id", "y", "x.size", "x.text", F.xxhash64("id").alias("k")))
     out: list = []
     for y in sorted(share):
-        part = joined.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows // 2)
-        out += [(bytes(r["text"]), r["y"], r["f"]) for r in part.select("text", "y", fold(F.col("id")).alias("f")).collect()]
+        part, held, last = found.where(F.col("y") == y), 0, None
+        for r in part.orderBy("k", "id").limit(rows // 2).select("k", "size").collect():
+            held += r["size"] or 0
+            if held > size // 2:
+                break
+            last = r["k"]
+        if last is not None:
+            out += [(bytes(r["text"] or b""), r["y"], r["f"]) for r in part.where(F.col("k") <= last).orderBy("k", "id").select("text", "y", fold(F.col("id")).alias("f")).collect()]
     return out, {y: n / total for y, n in share.items()}
 
 
