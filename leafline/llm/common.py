@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most this many rows may be broadcast; it is counted first.
 BROADCAST_ROWS = 200_000
-#: Files of a small staged table, and narrow rows of a file.
-FILES, FILE_ROWS = 8, 250_000
+#: Files of a small staged table, narrow rows of a file, and bytes of an input with texts for which there is one.
+FILES, FILE_ROWS, FILE_BYTES = 2, 250_000, 2 << 20
 #: Rows and bytes of an Arrow batch, so that a Python worker's memory has a bound whatever a row's size.
 BATCH_ROWS, BATCH_BYTES = 500, 1 << 20
 
@@ -86,6 +86,12 @@ def staged(df: DataFrame, rows: int | None = None) -> DataFrame:
     return out
 
 
+def like(texts: DataFrame) -> int:
+    """A bound for ``staged`` on tables made of texts: narrow rows that weigh as much as the texts do by the planner's estimate."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return FILE_ROWS * min(-(-size // FILE_BYTES), 1_000_000)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     if path := getattr(df, "leafline_path", None):

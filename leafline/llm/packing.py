@@ -17,7 +17,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, staged
+from .common import like, released, staged
 
 #: One text in so many, by a hash of it, is encoded in both ways and has to agree.
 PROVED = 64
@@ -197,11 +197,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, c
         import zlib
 
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        encode, end, task, seen = Encoder(path), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), defaultdict(int)
+        encode, end, task, seen = Encoder(path), end_id.to_bytes(4, "little"), None, defaultdict(int)
         for b in batches:
             rows = []
+            if task is None and b.num_rows:
+                task = b.column(2)[0].as_py() >> 33  # the partition, whatever task reads it
             for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = encode(t.as_py() or "") + end
                 n, at, k = len(ids) // 4, 0, 0
@@ -216,7 +217,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, c
         del encode
         released()
 
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long")
 
 
@@ -230,8 +231,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
     pieces; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    cut = staged(pieces(docs, id_col, text_col, capacity=capacity, end_id=end_id, tokenizer=tokenizer))
-    held = staged(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")))
+    cut = staged(pieces(docs, id_col, text_col, capacity=capacity, end_id=end_id, tokenizer=tokenizer), like(docs))
+    held = staged(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), cut.count())
     counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     slots, base = defaultdict(list), 0
     ranks: dict[int, int] = defaultdict(int)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import released, staged
+from .common import like, released, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: An email's domain part; the local part is what stands before it. Equal to a search for the
@@ -142,7 +142,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Defined cases: a null text counts as empty; a failing match is dropped and not retried; null
     ids keep their rows; other columns are not read; an empty table gives no rows.
     """
-    events = staged(_read(docs, id_col, text_col, window))
+    events = staged(_read(docs, id_col, text_col, window), like(docs))
     return _found(events, support, generalise, remove).select("row", "doc_id", "spans", "terms")
 
 
@@ -186,7 +186,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     their spans, so null and repeated ids are rewritten like any other.
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("leafline_row")
-    found = _found(staged(_read(docs, id_col, text_col, window, whole)), support, generalise, remove)
+    found = _found(staged(_read(docs, id_col, text_col, window, whole), like(docs)), support, generalise, remove)
 
     @F.pandas_udf("string")
     def clean(texts, spans, terms):

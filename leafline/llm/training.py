@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import FILE_ROWS, staged
 
 #: Labelled rows that a model learns from, half of each class at most, taken by a hash of the id,
 #: and the bytes that all of them may have together: the rows beyond are left out whatever their
@@ -26,7 +26,7 @@ def labelled_sample(
     Labels of held-out rows are filtered out before anything is counted. Null labels and ids are no labels.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(fold(F.col("id")) != 0)
-    known = staged(known.groupBy("id").agg(F.max("y").alias("y")))
+    known = staged(known.groupBy("id").agg(F.max("y").alias("y")), labels.count())
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     total = sum(share.values())
     picked = None
@@ -37,7 +37,7 @@ def labelled_sample(
         return [], {}
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     found = texts.join(F.broadcast(picked), "id")  # at most 4 * rows ids are broadcast
-    found = staged(found.groupBy("id", "y").agg(F.max(F.struct(F.length("text").alias("size"), F.xxhash64("text").alias("h"), "text")).alias("x")).select("id", "y", "x.size", "x.text", F.xxhash64("id").alias("k")))
+    found = staged(found.groupBy("id", "y").agg(F.max(F.struct(F.length("text").alias("size"), F.xxhash64("text").alias("h"), "text")).alias("x")).select("id", "y", "x.size", "x.text", F.xxhash64("id").alias("k")), FILE_ROWS * 4)  # 4 * rows texts at most
     out: list = []
     for y in sorted(share):
         part, held, last = found.where(F.col("y") == y), 0, None
