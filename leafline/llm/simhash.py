@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, dropped, maybe_broadcast, released, staged
+from .common import connected_components, dropped, like, maybe_broadcast, released, staged
 
 BITS = 64
 #: A-Z to a-z on UTF-8 bytes.
@@ -248,8 +248,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if radius % 2:
         raise ValueError("radius must be even: large buckets meet at radius / 2")
-    fps = staged(fingerprints(docs, id_col, text_col, ((width, (seed,), None),)).select(F.col("id").alias("doc_id"), F.element_at("fps", 1).alias("fingerprint")))
-    n = fps.count()
+    n = docs.count()
+    fps = staged(fingerprints(docs, id_col, text_col, ((width, (seed,), None),)).select(F.col("id").alias("doc_id"), F.element_at("fps", 1).alias("fingerprint")), like(docs))
     nodes = staged(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), n)
     known = nodes.where("node is not null").select("node", F.array("fingerprint").alias("tables"), F.array().cast("array<long>").alias("check"))
     comp = connected_components(links(known, radius, bucket=bucket), "a", "b", most=n)
@@ -370,14 +370,19 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, most: int) -> D
 
 
 def _turns(members: DataFrame, comp: DataFrame | None, sets: DataFrame, similarity: float, bucket: int, every: bool) -> tuple[DataFrame | None, DataFrame | None]:
-    """Link members(key, node, n, s) within their buckets: components so far, and the members of buckets that are still open.
-
-    Each turn links the members of a bucket to a representative drawn anew, one for every
-    ``bucket`` members; only pairs of a bucket in different components are open. Turns end when
-    one links little. every: then, or once open pairs are no more than members, all are compared.
+    """Link members(key, node, n, p) within their buckets: components so far, and the members of buckets that are still open.
+
+    n is the size of a node's set, p the place of the key in it, 1 where keys have no order. Each
+    turn links the members of a bucket to a representative, one for every ``bucket`` members: first
+    the one that has least before the key, then others drawn at random; only pairs of a bucket in
+    different components are open. Turns end when one links little. every: then, or once open pairs
+    are no more than members, all are compared whose sizes and places allow the similarity: behind
+    the first shingle that two sets share, in the order of keys, they can share no more than either
+    has left.
     """
     n_members, turn, fruitful = members.count(), 0, True
-    near = F.least("n", "o") >= similarity * F.greatest("n", "o") - 1e-9  # sets of other sizes cannot be so alike
+    left_over = F.least(F.col("n") - F.col("p"), F.col("o") - F.col("q")) + 1
+    near = left_over >= similarity / (1 + similarity) * (F.col("n") + F.col("o")) - 1e-9  # so much do alike sets share
     while True:
         state = members.withColumn("component", F.col("node")) if comp is None else staged(members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), n_members)
         parts = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -389,13 +394,14 @@ def _turns(members: DataFrame, comp: DataFrame | None, sets: DataFrame, similari
         opened = state.join(held.select("key", "m"), "key")
         last = every and (open_pairs <= rows or not fruitful)
         if last:
-            left, right = opened.select("key", "node", "n", "component"), opened.select("key", F.col("node").alias("b"), F.col("n").alias("o"), F.col("component").alias("other"))
+            left, right = opened.select("key", "node", "n", "p", "component"), opened.select("key", F.col("node").alias("b"), F.col("n").alias("o"), F.col("p").alias("q"), F.col("component").alias("other"))
             pairs = left.join(right, "key").where(F.col("component") < F.col("other"))
         elif not fruitful:
             return comp, opened.select("node").distinct()
         else:
             dealt = opened.withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / bucket)))
-            drawn = dealt.groupBy("key", "part").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("o"), F.col("component").alias("other")), F.xxhash64("node", F.lit(turn), F.lit("drawn"))).alias("x"))
+            own = F.lit(0.0) if turn else F.col("p") / F.col("n")
+            drawn = dealt.groupBy("key", "part").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("o"), F.col("p").alias("q"), F.col("component").alias("other")), F.struct(own, F.xxhash64("node", F.lit(turn), F.lit("drawn")))).alias("x"))
             pairs = dealt.join(drawn.select("key", "part", "x.*"), ["key", "part"]).where(F.col("component") != F.col("other"))
         pairs = staged(pairs.where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), int(open_pairs if last else n_members))
         n_pairs = pairs.count()
@@ -413,12 +419,12 @@ def _turns(members: DataFrame, comp: DataFrame | None, sets: DataFrame, similari
 
 
 def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """key, node, n, s: the shingles by which a node of ``nodes(node)`` can be alike to another one of them.
+    """key, node, n, p: the shingles by which a node of ``nodes(node)`` can be alike to another one of them.
 
     Shingles are put in one order, those in fewest sets first. Two sets of the similarity share one
     of each one's first n - ceil(similarity * n) + 1 (Chaudhuri, Ganti and Kaushik, 2006); shingles
     of one set alone take places there but join nothing, so a set of much that is its own has no
-    keys at all. s counts the shingles that other sets hold too.
+    keys at all. p is a key's place in its set.
     """
 
     def run(batches):
@@ -439,13 +445,14 @@ def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     by = Window.partitionBy("node")
     placed = tokens.join(often, "key").withColumn("place", F.row_number().over(by.orderBy("df", "key"))).withColumn("shared", F.count(F.lit(1)).over(by))
     first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    out = staged(placed.where(F.col("place") <= first - (F.col("n") - F.col("shared"))).select("key", "node", "n"))
+    place = F.col("n") - F.col("shared") + F.col("place")  # those of one set alone come first
+    out = staged(placed.select("key", "node", "n", place.alias("p"), first.alias("first")).where("p <= first").drop("first"))
     dropped(tokens)
     return out
 
 
 def jaccard_components(members: DataFrame, sets: DataFrame, similarity: float, bucket: int) -> DataFrame | None:
-    """node, component of all links among ``members(key, node, n, s)``: pairs of one key and a Jaccard similarity reached.
+    """node, component of all links among ``members(key, node, n, p)``: pairs of one key and a Jaccard similarity reached.
 
     Buckets are settled by representatives as far as these link much: groups of copies, whatever
     their size. What is left open are sets that meet by something common, such as a passage. These
@@ -476,14 +483,14 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     jaccard_components for buckets that grow large.
     Nulls, repeats and empty tables as in simhash_components.
     """
-    cut = staged(sketches(docs, id_col, text_col, width, bands, rows))
-    n = cut.count()
+    n = docs.count()
+    cut = staged(sketches(docs, id_col, text_col, width, bands, rows), like(docs))
     known = F.when(F.col("id").isNotNull(), F.struct("id", "copy"))
     nodes = staged(cut.groupBy("same").agg(F.min(known).alias("low"), F.min(F.struct("row", "n", "bands")).alias("x")).select("same", "low", F.col("x.row").alias("node"), "x.n", "x.bands"), 8 * n)
     key = Window.partitionBy("key")
     each = nodes.where("low is not null").select("node", "n", F.explode("bands").alias("key"))
     each = each.select("node", "n", F.min("node").over(key).alias("first"), F.count(F.lit(1)).over(key).alias("many"), F.bit_xor(F.xxhash64("node")).over(key).alias("mark")).where("many > 1")
-    members = staged(each.select(F.xxhash64("first", "many", "mark").alias("key"), "node", "n").distinct(), bands * n)  # buckets of the same members are one
+    members = staged(each.select(F.xxhash64("first", "many", "mark").alias("key"), "node", "n", F.lit(1).cast("long").alias("p")).distinct(), bands * n)  # buckets of the same members are one
     comp = jaccard_components(members, cut.select(F.col("row").alias("node"), "lanes", "held"), similarity, bucket)
     ids = nodes.select("same", "low", F.col("node").alias("component")) if comp is None else nodes.join(comp, "node", "left").select("same", "low", F.coalesce("component", "node").alias("component"))
     lows = ids.groupBy("component").agg(F.min("low").alias("lowest"))
