@@ -131,6 +131,8 @@ def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from the labelled rows of docs; a pandas UDF from a text's bytes to its score."""
     sample, shares = labelled_sample(docs, labels, label, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(train(sample, shares, decision, **how))
+    sample.clear()
+    released()  # the driver's Python, too, is used by what follows
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
