@@ -149,14 +149,19 @@ def style_crosswalk(base: DataFrame, current: DataFrame) -> DataFrame:
     return side(base, "base_id").join(side(current, "current_id"), ["kind", "name"]).select("current_id", "base_id")
 
 
-def template_closure(styles: DataFrame, wanted: DataFrame) -> DataFrame:
-    """style, missing: all styles that wanted(style) need along ``based_on`` and ``link`` of styles(style, based_on, link); missing where the template has none."""
+def template_closure(styles: DataFrame, wanted: DataFrame, has: Column | None = None) -> DataFrame:
+    """style, missing: all styles that wanted(style) need along ``based_on`` and ``link`` of styles(style, based_on, link); missing where the template has none.
+
+    has: whether the template has a ``style``, where links are stated for more or fewer styles than it holds; else it has those of styles.
+    """
     edges = cut(styles.select("style", F.explode(F.array_compact(F.array("based_on", "link"))).alias("to")).distinct())
     reached = step = cut(wanted.select("style").distinct())
     while step.limit(1).count():
         found = step.join(edges, "style").select(F.col("to").alias("style")).distinct()
         step = cut(found.join(reached, "style", "left_anti"))
         reached = cut(reached.union(step))
+    if has is not None:
+        return reached.select("style", (~has).alias("missing"))
     known = styles.select("style").distinct().withColumn("known", F.lit(True))
     return reached.join(known, "style", "left").select("style", F.col("known").isNull().alias("missing"))
 

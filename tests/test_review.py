@@ -95,6 +95,27 @@ def test_names_and_math(spark):
     assert shown == r"\frac{a}{b} \mathbf{x} \operatorname{argmin}"
 
 
+def test_template_closure_beyond_a_million(spark, tmp_path):
+    """Parts whose keys reach the range of the links, and keys with gaps, give the rows of the SQL."""
+    import duckdb
+
+    from leafline import catalog
+
+    keys = [*range(0, 200), *range(999_900, 1_000_400), *range(1_500_000, 1_500_100)]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["template_closure"]).fetchall()
+    assert sorted(map(tuple, catalog.queries()["template_closure"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_template_closure_by_the_styles_given(spark):
+    styles = spark.createDataFrame([("a", "b", None), ("b", "gone", "a")], "style string, based_on string, link string")
+    wanted = spark.createDataFrame([("a",)], "style string")
+    assert {tuple(r) for r in R.template_closure(styles, wanted).collect()} == {("a", False), ("b", False), ("gone", True)}
+    assert {tuple(r) for r in R.template_closure(styles, wanted, has=F.col("style") != "b").collect()} == {("a", False), ("b", True), ("gone", False)}
+
+
 def package(paragraphs):
     import io
     import zipfile
