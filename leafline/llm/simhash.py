@@ -15,9 +15,10 @@ linked by a search that leaves a spanning forest, never all pairs. Buckets above
 are not compared: their members meet through every value within radius / 2 bits (a shared value
 proves a link, and every link has one), a number of rows linear in the members.
 
-Copies by Jaccard similarity of shingles (``near_copy_components``) leave every such radius. Their
-candidates agree on minimum hashes, or share one of their rarest shingles where these are too
-many, and links are verified on the whole sets; see there.
+Copies by Jaccard similarity of shingles (``near_copy_components``) are first sought in the same
+way, and their links verified on the whole sets. A pair can be similar and yet leave every such
+radius, so those not linked by then have further candidates: pairs that agree on minimum hashes, or
+share one of their rarest shingles where these are too many; see there.
 """
 
 from __future__ import annotations
@@ -290,8 +291,18 @@ def band_keys(low, bands: int, rows: int) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def set_fingerprint(held) -> int:
+    """The fingerprint of a set of hashes, each counted once, as a signed integer; zero for the empty set."""
+    import numpy as np
+
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(held), 255):  # a byte holds the sums of 255 bits
+        counts += np.unpackbits(held[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return int(np.packbits(counts * 2 > len(held), bitorder="little").view("<i8")[0])
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """row, id, copy (a hash of the text), same (a hash of the whole set), n, bands, lanes (a byte of each minimum hash) and held (the set itself, 8 bytes a shingle)."""
+    """row, id, copy (a hash of the text), same (a hash of the whole set), n, fp (its fingerprint), bands, lanes (a byte of each minimum hash) and held (the set itself, 8 bytes a shingle)."""
 
     def run(batches):
         import numpy as np
@@ -306,13 +317,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                 low = [minima(x, bands * rows) for x in sets]
                 keys = pa.array([band_keys(x, bands, rows) if len(y) else [] for x, y in zip(low, sets)], pa.list_(pa.int64()))
                 lanes = pa.array([(x >> np.uint64(56)).astype(np.uint8).tobytes() for x in low], pa.binary())
-                cols = [*part.columns[:3], pa.array([xxh3_128_digest(x) for x in held], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), keys, lanes, pa.array(held, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "copy", "same", "n", "bands", "lanes", "held"])
+                cols = [*part.columns[:3], pa.array([xxh3_128_digest(x) for x in held], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_fingerprint(x) for x in sets], pa.int64()), keys, lanes, pa.array(held, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "copy", "same", "n", "fp", "bands", "lanes", "held"])
         released()
 
     text = docs[text_col].cast("binary")
     picked = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("id"), text_key(text).alias("copy"), text.alias("text"))
-    return picked.mapInArrow(run, "row long, id long, copy long, same binary, n long, bands array<long>, lanes binary, held binary")
+    return picked.mapInArrow(run, "row long, id long, copy long, same binary, n long, fp long, bands array<long>, lanes binary, held binary")
 
 
 def text_key(text: Column) -> Column:
@@ -451,33 +462,50 @@ def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
-def jaccard_components(members: DataFrame, sets: DataFrame, similarity: float, bucket: int) -> DataFrame | None:
-    """node, component of all links among ``members(key, node, n, p)``: pairs of one key and a Jaccard similarity reached.
+def fingerprint_groups(nodes: DataFrame, radius: int, bucket: int, most: int) -> DataFrame:
+    """key, node, n, p: the nodes(node, n, fp) whose fingerprints are in one component of links within the radius, under its key."""
+    each = staged(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("many")), most)
+    comp = connected_components(links(each.select("node", F.array("fp").alias("tables"), F.array().cast("array<long>").alias("check")), radius, bucket=bucket), "a", "b", most=most)
+    keys = staged(each.join(comp, "node", "left").where("component is not null or many > 1").select("fp", F.coalesce("component", "node").alias("key")), most)
+    out = staged(nodes.join(maybe_broadcast(keys), "fp").select("key", "node", "n", F.lit(1).cast("long").alias("p")), most)
+    for used in (each, keys):
+        dropped(used)
+    return out
+
+
+def jaccard_components(near: DataFrame, members: DataFrame, sets: DataFrame, similarity: float, bucket: int) -> DataFrame | None:
+    """node, component of all links among ``near`` and ``members(key, node, n, p)``: pairs of one key and a Jaccard similarity reached.
 
-    Buckets are settled by representatives as far as these link much: groups of copies, whatever
+    near: groups by fingerprints, which go first; members: buckets of minimum hashes, in which only
+    what these leave apart is compared. Buckets are settled by representatives as far as these link much: groups of copies, whatever
     their size. What is left open are sets that meet by something common, such as a passage. These
     meet again by their rarest shingles, which loses no pair either, and only the few that share
     such a one are compared.
     """
-    comp, left = _turns(members, None, sets, similarity, bucket, False)
-    if left is None:
+    first, apart = _turns(near, None, sets, similarity, bucket, False)
+    comp, left = _turns(members, first, sets, similarity, bucket, False)
+    if first is not None and comp is not first:
+        dropped(first)
+    both = [x for x in (apart, left) if x is not None]
+    if not both:
         return comp
-    keys = prefixes(staged(left), sets, similarity)
+    keys = prefixes(staged(both[0] if len(both) == 1 else both[0].union(both[1]).distinct()), sets, similarity)
     out = _turns(keys, comp, sets, similarity, bucket, True)[0]
     dropped(keys)
     return out
 
 
-def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, bucket: int = 16384) -> DataFrame:
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, similarity: float = 0.8, radius: int = 4, bands: int = 24, rows: int = 4, bucket: int = 16384) -> DataFrame:
     """Groups of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     One row for each row of docs: doc_id, copy (a hash of its text), component_id (the smallest id
     of its group) and component_copy (the hash that goes with it), so that rows which repeat an id
     can be told apart.
 
-    A few edited words change ``width`` shingles each, and an added passage moves a fingerprint of
-    single words as well, so such pairs leave any SimHash radius that a covering family can afford.
-    Candidates agree on all ``rows`` minimum hashes of one of ``bands`` bands, which a pair of
+    SimHash comes first: sets whose fingerprints are linked within ``radius`` bits by the covering
+    tables are candidates, as in simhash_components. A few edited words change ``width`` shingles
+    each, so other pairs of the similarity leave any radius that a covering family can afford.
+    Among what is not linked by then, candidates agree on all ``rows`` minimum hashes of one of ``bands`` bands, which a pair of
     similarity s misses with probability (1 - s ** rows) ** bands whatever the shape of the edit
     (3 in a million at 0.8). Every link is verified on the whole sets before it counts; see
     jaccard_components for buckets that grow large.
@@ -486,17 +514,18 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n = docs.count()
     cut = staged(sketches(docs, id_col, text_col, width, bands, rows), like(docs))
     known = F.when(F.col("id").isNotNull(), F.struct("id", "copy"))
-    nodes = staged(cut.groupBy("same").agg(F.min(known).alias("low"), F.min(F.struct("row", "n", "bands")).alias("x")).select("same", "low", F.col("x.row").alias("node"), "x.n", "x.bands"), 8 * n)
+    nodes = staged(cut.groupBy("same").agg(F.min(known).alias("low"), F.min(F.struct("row", "n", "fp", "bands")).alias("x")).select("same", "low", F.col("x.row").alias("node"), "x.n", "x.fp", "x.bands"), 8 * n)
     key = Window.partitionBy("key")
     each = nodes.where("low is not null").select("node", "n", F.explode("bands").alias("key"))
     each = each.select("node", "n", F.min("node").over(key).alias("first"), F.count(F.lit(1)).over(key).alias("many"), F.bit_xor(F.xxhash64("node")).over(key).alias("mark")).where("many > 1")
     members = staged(each.select(F.xxhash64("first", "many", "mark").alias("key"), "node", "n", F.lit(1).cast("long").alias("p")).distinct(), bands * n)  # buckets of the same members are one
-    comp = jaccard_components(members, cut.select(F.col("row").alias("node"), "lanes", "held"), similarity, bucket)
+    near = fingerprint_groups(nodes.where("low is not null").select("node", "n", "fp"), radius, bucket, n)
+    comp = jaccard_components(near, members, cut.select(F.col("row").alias("node"), "lanes", "held"), similarity, bucket)
     ids = nodes.select("same", "low", F.col("node").alias("component")) if comp is None else nodes.join(comp, "node", "left").select("same", "low", F.coalesce("component", "node").alias("component"))
     lows = ids.groupBy("component").agg(F.min("low").alias("lowest"))
     ids = staged(ids.join(lows, "component").select("same", "lowest"), 2 * n)
     out = cut.select(F.col("id").alias("doc_id"), "copy", "same").join(ids, "same")
     out = staged(out.select("doc_id", "copy", F.col("lowest.id").alias("component_id"), F.col("lowest.copy").alias("component_copy")), 2 * n)
-    for used in (cut, nodes, members, comp, ids):
+    for used in (cut, nodes, near, members, comp, ids):
         dropped(used)
     return out

@@ -142,6 +142,36 @@ def test_near_copies_of_a_large_group(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_copy_components(docs_of(spark, rows), bucket=8).collect()} == jaccard_groups(rows)
 
 
+def test_near_copies_are_sought_by_fingerprints(spark):
+    """Covering tables find the groups of all sets within the radius, and their verified links stand before minimum hashes are asked."""
+    rng, rows = random.Random(14), []
+    for k in range(12):
+        w = prose(rng, 400).split()
+        rows += [(10 * k + c, " ".join(w + [f"more{k}x{i}" for i in range(c)])) for c in range(4)]
+    cut = common.staged(simhash.sketches(docs_of(spark, rows), "doc_id", "text", 5, 24, 4))
+    fps = {r.id: r.fp & (1 << 64) - 1 for r in cut.collect()}
+    for i, t in rows:
+        w = t.split()
+        held = [xxhash.xxh64_intdigest(s) for s in {" ".join(w[k : k + 5]) for k in range(len(w) - 4)}]
+        assert fps[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in held) > len(held))
+    nodes = cut.select(F.col("row").alias("node"), "n", "fp")
+    ids = {r.row: r.id for r in cut.collect()}
+    near = common.staged(simhash.fingerprint_groups(nodes, 4, 16384, len(rows)))
+    groups = {}
+    for r in near.collect():
+        groups.setdefault(r.key, set()).add(ids[r.node])
+    want = {}
+    for i, root in brute_components(sorted(fps.items()), lambda x, y: (x ^ y).bit_count() <= 4).items():
+        want.setdefault(root, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1) and groups
+    sets = cut.select(F.col("row").alias("node"), "lanes", "held")
+    comp = simhash.jaccard_components(near, near.limit(0), sets, 0.8, 16384)  # no bands at all
+    linked = {}
+    for r in comp.collect():
+        linked.setdefault(r.component, set()).add(ids[r.node])
+    assert sorted(map(sorted, linked.values())) == sorted(map(sorted, groups.values()))
+
+
 def test_no_link_below_the_similarity(spark):
     rng, rows = random.Random(13), []
     for k in range(100):
