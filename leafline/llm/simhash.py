@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, dropped, like, maybe_broadcast, released, staged
+from .common import BROADCAST_ROWS, FILE_ROWS, connected_components, dropped, like, maybe_broadcast, released, staged
 
 BITS = 64
 #: A-Z to a-z on UTF-8 bytes.
@@ -332,25 +332,30 @@ def text_key(text: Column) -> Column:
 
 
 def _compared(pairs: DataFrame, values: DataFrame, column: str, keep, weight: int, most: int) -> DataFrame:
-    """The pairs (a, b) that keep(x, y) holds for, given arrays of both sides' values(node, column)."""
+    """The pairs (a, b, u, v) that keep(x, y) holds for, given arrays of values(node, column) of a and b."""
 
     def run(batches):
         import pyarrow as pa
 
         for p in batches:
             if p.num_rows:
-                hit = keep(p.column(2), p.column(3))
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+                hit = keep(p.column(4), p.column(5))
+                yield pa.RecordBatch.from_arrays(p.columns[:4], names=["a", "b", "u", "v"]).filter(pa.array(hit, pa.bool_()))
         released()
 
-    asked = maybe_broadcast(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    asked = _hinted(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), 2 * most)
     held = values.join(asked, "node", "left_semi")
     wide = pairs.join(held.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
-    return staged(wide.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), weight * most)
+    return staged(wide.select("a", "b", "u", "v", "x", "y").mapInArrow(run, "a long, b long, u long, v long"), weight * most)
+
+
+def _hinted(df: DataFrame, most: int) -> DataFrame:
+    """maybe_broadcast without a count where a bound on the rows is known and small."""
+    return F.broadcast(df) if most <= BROADCAST_ROWS else maybe_broadcast(df)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Those of the pairs (a, b) whose ``sets(node, lanes, held)`` have at least that Jaccard similarity.
+    """Those of the pairs (a, b, u, v) whose a and b have, in ``sets(node, lanes, held)``, at least that Jaccard similarity.
 
     Of m minimum hashes a pair of similarity s shares m * s, give or take. Pairs of 4.4 standard
     deviations fewer (5 in a million at the least similarity asked for) are left out before their
@@ -380,27 +385,77 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, most: int) -> D
     return found
 
 
-def _turns(members: DataFrame, comp: DataFrame | None, sets: DataFrame, similarity: float, bucket: int, every: bool) -> tuple[DataFrame | None, DataFrame | None]:
-    """Link members(key, node, n, p) within their buckets: components so far, and the members of buckets that are still open.
+def reached(a, b):
+    """The nodes of the edges (a, b), and the smallest node that each one reaches."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low, before = np.arange(len(nodes)), None
+    while before is None or (low != before).any():
+        before = low
+        least, low = np.minimum(low[x], low[y]), low.copy()
+        for end in (x, y, before[x], before[y]):
+            np.minimum.at(low, end, least)
+        while (low[low] != low).any():
+            low = low[low]
+    return nodes, nodes[low]
+
+
+def _merged(edges: DataFrame, most: int) -> DataFrame:
+    """node, component of the staged edges (a, b), at most so many.
 
+    As many edges as may be broadcast are one task of a fixed size, which spares the driver some
+    dozen small jobs; more of them take rounds over the cluster.
+    """
+    if most > BROADCAST_ROWS:
+        return staged(connected_components(edges, "a", "b", most=most), 2 * most)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] for b in batches if b.num_rows]
+        if parts:
+            a, b = (np.concatenate(x) for x in zip(*parts))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in reached(a, b)], names=["node", "component"])
+        released()
+
+    return staged(edges.select("a", "b").where("a <> b").coalesce(1).mapInArrow(run, "node long, component long"), 2 * most)
+
+
+def _placed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """rows with the component of their node, itself where comp(node, component) has none."""
+    if comp is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _turns(members: DataFrame, comp: DataFrame | None, sets: DataFrame, similarity: float, bucket: int, every: bool, most: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Link members(key, node, n, p, component) within their buckets: components so far, and the nodes of buckets that are still open.
+
+    comp has the components of all nodes, at most so many, and those of members are taken from it.
     n is the size of a node's set, p the place of the key in it, 1 where keys have no order. Each
     turn links the members of a bucket to a representative, one for every ``bucket`` members: first
     the one that has least before the key, then others drawn at random; only pairs of a bucket in
-    different components are open. Turns end when one links little. every: then, or once open pairs
-    are no more than members, all are compared whose sizes and places allow the similarity: behind
-    the first shingle that two sets share, in the order of keys, they can share no more than either
-    has left.
+    different components are open. A bucket of one component is settled for good, so a turn reads
+    only what the one before left open, and components are joined by what it has merged alone.
+    Turns end when one links little. every: then, or once open pairs are no more than members, all
+    are compared whose sizes and places allow the similarity: behind the first shingle that two
+    sets share, in the order of keys, they can share no more than either has left.
     """
-    n_members, turn, fruitful = members.count(), 0, True
+    state, n_members, turn, fruitful = members, members.count(), 0, True
     left_over = F.least(F.col("n") - F.col("p"), F.col("o") - F.col("q")) + 1
     near = left_over >= similarity / (1 + similarity) * (F.col("n") + F.col("o")) - 1e-9  # so much do alike sets share
     while True:
-        state = members.withColumn("component", F.col("node")) if comp is None else staged(members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), n_members)
         parts = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         held = parts.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         held = staged(held, n_members)
         open_pairs, rows = held.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("sq")) / 2), F.sum("m")).first()
         if not open_pairs:
+            dropped(held)
+            if turn:
+                dropped(state)
             return comp, None
         opened = state.join(held.select("key", "m"), "key")
         last = every and (open_pairs <= rows or not fruitful)
@@ -414,15 +469,24 @@ def _turns(members: DataFrame, comp: DataFrame | None, sets: DataFrame, similari
             own = F.lit(0.0) if turn else F.col("p") / F.col("n")
             drawn = dealt.groupBy("key", "part").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("n").alias("o"), F.col("p").alias("q"), F.col("component").alias("other")), F.struct(own, F.xxhash64("node", F.lit(turn), F.lit("drawn")))).alias("x"))
             pairs = dealt.join(drawn.select("key", "part", "x.*"), ["key", "part"]).where(F.col("component") != F.col("other"))
-        pairs = staged(pairs.where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), int(open_pairs if last else n_members))
+        ends = [f("node", "b").alias(x) for x, f in (("a", F.least), ("b", F.greatest))] + [f("component", "other").alias(x) for x, f in (("u", F.least), ("v", F.greatest))]
+        pairs = staged(pairs.where(near).select(*ends).distinct(), int(open_pairs if last else rows))
         n_pairs = pairs.count()
-        new = _alike(pairs, sets, similarity, n_pairs)
-        n_new = new.count()
+        new = _alike(pairs, sets, similarity, n_pairs) if n_pairs else pairs
+        n_new = new.count() if n_pairs else 0
         fruitful = n_new * 16 >= n_pairs and n_new > 0
-        # Nodes that met before are one node by now, so only what is new has to be worked out again.
-        found = new if comp is None else new.union(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        before, comp = comp, staged(connected_components(found, "a", "b", most=n_new + n_members), n_members)
-        for used in (state if before is not None else None, held, pairs, new, before if turn else None):
+        before = (state if turn else None, comp if turn else None)
+        if n_new:
+            # Components that met before are one node by now, so only what is new has to be worked out.
+            merged = _merged(new.select(F.col("u").alias("a"), F.col("v").alias("b")), n_new)
+            moved = _hinted(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), 2 * n_new)
+            now = lambda d: d.join(moved, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
+            comp = merged if comp is None else staged(now(comp).select("node", "component").unionByName(merged.join(comp.select("node"), "node", "left_anti")), most)
+            if not last:
+                state = staged(now(opened.drop("m")).select("key", "node", "n", "p", "component"), int(rows))
+            for used in (*before, merged if comp is not merged else None):
+                dropped(used)
+        for used in (held, pairs, new):
             dropped(used)
         if last:
             return comp, None
@@ -430,7 +494,7 @@ def _turns(members: DataFrame, comp: DataFrame | None, sets: DataFrame, similari
 
 
 def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """key, node, n, p: the shingles by which a node of ``nodes(node)`` can be alike to another one of them.
+    """key, node, n, p, component: the shingles by which a node of ``nodes(node, component)`` can be alike to another one of them.
 
     Shingles are put in one order, those in fewest sets first. Two sets of the similarity share one
     of each one's first n - ceil(similarity * n) + 1 (Chaudhuri, Ganti and Kaushik, 2006); shingles
@@ -443,21 +507,22 @@ def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for node, held in zip(b.column(0).to_pylist(), b.column(1)):
+            for node, component, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 x = np.frombuffer(held.as_buffer(), "<u8").view(np.int64)
                 for at in range(0, len(x), 50_000):
                     part = x[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(x)))], names=["key", "node", "n"])
+                    cols = [pa.array(part), *(pa.array(np.full(len(part), v)) for v in (node, len(x), component))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "n", "component"])
         released()
 
-    wanted = sets.select("node", "held").join(maybe_broadcast(nodes), "node", "left_semi")
-    tokens = staged(wanted.mapInArrow(run, "key long, node long, n long"))
+    wanted = sets.select("node", "held").join(maybe_broadcast(nodes), "node").select("node", "component", "held")
+    tokens = staged(wanted.mapInArrow(run, "key long, node long, n long, component long"))
     often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     by = Window.partitionBy("node")
     placed = tokens.join(often, "key").withColumn("place", F.row_number().over(by.orderBy("df", "key"))).withColumn("shared", F.count(F.lit(1)).over(by))
     first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
     place = F.col("n") - F.col("shared") + F.col("place")  # those of one set alone come first
-    out = staged(placed.select("key", "node", "n", place.alias("p"), first.alias("first")).where("p <= first").drop("first"))
+    out = staged(placed.select("key", "node", "n", place.alias("p"), "component", first.alias("first")).where("p <= first").drop("first"))
     dropped(tokens)
     return out
 
@@ -465,33 +530,39 @@ def prefixes(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def fingerprint_groups(nodes: DataFrame, radius: int, bucket: int, most: int) -> DataFrame:
     """key, node, n, p: the nodes(node, n, fp) whose fingerprints are in one component of links within the radius, under its key."""
     each = staged(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("many")), most)
-    comp = connected_components(links(each.select("node", F.array("fp").alias("tables"), F.array().cast("array<long>").alias("check")), radius, bucket=bucket), "a", "b", most=most)
+    edges = staged(links(each.select("node", F.array("fp").alias("tables"), F.array().cast("array<long>").alias("check")), radius, bucket=bucket), most)
+    comp = _merged(edges, edges.count())
     keys = staged(each.join(comp, "node", "left").where("component is not null or many > 1").select("fp", F.coalesce("component", "node").alias("key")), most)
     out = staged(nodes.join(maybe_broadcast(keys), "fp").select("key", "node", "n", F.lit(1).cast("long").alias("p")), most)
-    for used in (each, keys):
+    for used in (each, edges, comp, keys):
         dropped(used)
     return out
 
 
-def jaccard_components(near: DataFrame, members: DataFrame, sets: DataFrame, similarity: float, bucket: int) -> DataFrame | None:
+def jaccard_components(near: DataFrame, members, sets: DataFrame, similarity: float, bucket: int, most: int = FILE_ROWS) -> DataFrame | None:
     """node, component of all links among ``near`` and ``members(key, node, n, p)``: pairs of one key and a Jaccard similarity reached.
 
     near: groups by fingerprints, which go first; members: buckets of minimum hashes, in which only
-    what these leave apart is compared. Buckets are settled by representatives as far as these link much: groups of copies, whatever
+    what these leave apart is compared, as a table or as a function that makes it (with component)
+    from the components so far; most: a bound on the nodes. Buckets are settled by representatives as far as these link much: groups of copies, whatever
     their size. What is left open are sets that meet by something common, such as a passage. These
     meet again by their rarest shingles, which loses no pair either, and only the few that share
     such a one are compared.
     """
-    first, apart = _turns(near, None, sets, similarity, bucket, False)
-    comp, left = _turns(members, first, sets, similarity, bucket, False)
+    first, apart = _turns(_placed(near, None), None, sets, similarity, bucket, False, most)
+    held = members(first) if callable(members) else _placed(members, first)
+    comp, left = _turns(held, first, sets, similarity, bucket, False, most)
     if first is not None and comp is not first:
         dropped(first)
     both = [x for x in (apart, left) if x is not None]
     if not both:
+        dropped(held)
         return comp
-    keys = prefixes(staged(both[0] if len(both) == 1 else both[0].union(both[1]).distinct()), sets, similarity)
-    out = _turns(keys, comp, sets, similarity, bucket, True)[0]
+    open_nodes = _placed(both[0] if len(both) == 1 else both[0].union(both[1]).distinct(), comp)
+    keys = prefixes(staged(open_nodes.select("node", "component"), most), sets, similarity)
+    out = _turns(keys, comp, sets, similarity, bucket, True, most)[0]
     dropped(keys)
+    dropped(held)
     return out
 
 
@@ -516,16 +587,21 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known = F.when(F.col("id").isNotNull(), F.struct("id", "copy"))
     nodes = staged(cut.groupBy("same").agg(F.min(known).alias("low"), F.min(F.struct("row", "n", "fp", "bands")).alias("x")).select("same", "low", F.col("x.row").alias("node"), "x.n", "x.fp", "x.bands"), 8 * n)
     key = Window.partitionBy("key")
-    each = nodes.where("low is not null").select("node", "n", F.explode("bands").alias("key"))
-    each = each.select("node", "n", F.min("node").over(key).alias("first"), F.count(F.lit(1)).over(key).alias("many"), F.bit_xor(F.xxhash64("node")).over(key).alias("mark")).where("many > 1")
-    members = staged(each.select(F.xxhash64("first", "many", "mark").alias("key"), "node", "n", F.lit(1).cast("long").alias("p")).distinct(), bands * n)  # buckets of the same members are one
+
+    def members(comp: DataFrame | None) -> DataFrame:
+        """Buckets of bands that hold nodes of more than one component; buckets of the same members are one."""
+        each = _placed(nodes.where("low is not null").select("node", "n", "bands"), comp).select("node", "n", "component", F.explode("bands").alias("key"))
+        marks = [F.min("node").over(key).alias("first"), F.count(F.lit(1)).over(key).alias("many"), F.bit_xor(F.xxhash64("node")).over(key).alias("mark")]
+        each = each.select("node", "n", "component", *marks, (F.min("component").over(key) != F.max("component").over(key)).alias("open")).where("open")
+        return staged(each.select(F.xxhash64("first", "many", "mark").alias("key"), "node", "n", F.lit(1).cast("long").alias("p"), "component").distinct(), bands * n)
+
     near = fingerprint_groups(nodes.where("low is not null").select("node", "n", "fp"), radius, bucket, n)
-    comp = jaccard_components(near, members, cut.select(F.col("row").alias("node"), "lanes", "held"), similarity, bucket)
+    comp = jaccard_components(near, members, cut.select(F.col("row").alias("node"), "lanes", "held"), similarity, bucket, n)
     ids = nodes.select("same", "low", F.col("node").alias("component")) if comp is None else nodes.join(comp, "node", "left").select("same", "low", F.coalesce("component", "node").alias("component"))
     lows = ids.groupBy("component").agg(F.min("low").alias("lowest"))
     ids = staged(ids.join(lows, "component").select("same", "lowest"), 2 * n)
     out = cut.select(F.col("id").alias("doc_id"), "copy", "same").join(ids, "same")
     out = staged(out.select("doc_id", "copy", F.col("lowest.id").alias("component_id"), F.col("lowest.copy").alias("component_copy")), 2 * n)
-    for used in (cut, nodes, near, members, comp, ids):
+    for used in (cut, nodes, near, comp, ids):
         dropped(used)
     return out

@@ -172,6 +172,32 @@ def test_near_copies_are_sought_by_fingerprints(spark):
     assert sorted(map(sorted, linked.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_turns_read_only_what_is_open(spark, monkeypatch):
+    """Buckets whose members are one component already, by fingerprints or by a turn before, are not read again."""
+    rng, rows = random.Random(17), []
+    for k in range(8):
+        w = prose(rng, 400).split()
+        rows += [(10 * k + c, " ".join([*w, *(f"more{k}x{i}" for i in range(c))])) for c in range(3)]
+    w = prose(rng, 60).split()
+    rows += [(200, " ".join(w)), (201, " ".join(w + ["far", "from", "it", "by", "bits", "of", "a", "print"]))]
+    read, turns = [], simhash._turns
+    monkeypatch.setattr(simhash, "_turns", lambda members, *rest: (read.append({r.node for r in members.select("node").collect()}), turns(members, *rest))[1])
+    got = {r.doc_id: r.component_id for r in simhash.near_copy_components(docs_of(spark, rows)).collect()}
+    assert got == jaccard_groups(rows) and got[201] == 200
+    assert len(read[0]) >= 20 and len(read[1]) <= 6  # the pair of 200 and what bits left apart
+
+
+@pytest.mark.parametrize("bound", [200_000, 3])
+def test_merged_like_components(spark, monkeypatch, bound):
+    """One task or rounds over the cluster: the same components."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
+    rng = random.Random(18)
+    edges = [(i, i + 1) for i in range(500, 400, -1)] + [(7, i) for i in range(8, 60)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(5, 5)]
+    want = brute_components([(i, i) for i in sorted({x for e in edges for x in e})], lambda x, y: (x, y) in links or (y, x) in links) if (links := set(edges)) else {}
+    got = {r.node: r.component for r in simhash._merged(common.staged(spark.createDataFrame(edges, "a long, b long")), len(edges)).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
 def test_no_link_below_the_similarity(spark):
     rng, rows = random.Random(13), []
     for k in range(100):
