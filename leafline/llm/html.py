@@ -12,9 +12,15 @@ Furniture goes by structure. The rest is judged by what repeats on distinct page
   so the commonest is reduced before it is shuffled; the array is dealt over the cluster by
   host and the first ``run`` tokens, as no shorter run counts, so that no host is one task. Suffixes
   are cut at ``depth`` tokens: a longer run is covered by the suffixes that follow.
-* Inside an article the symbols are whole blocks. One that stands on ``share`` of the host's
-  pages, three at least, is a line that the site sets into its articles, and goes; but a page
-  half or more of whose article is such is a copy, and is kept whole.
+* The tokens of articles have an array of their own, in which a run counts where ``share`` of the
+  host's pages, three at least, have it: what a site sets into its articles. Neighbours' common
+  prefixes give the pages of each run of ``run`` to ``depth`` tokens, and a block shorter than
+  that is a run with the marks of its two ends. Blocks of which half or more is covered go; but a
+  page half or more of whose article would go is a copy, and is kept whole. A run can stand on so
+  many pages only if each of its tokens does, so the tokens of each host are counted first, and
+  suffixes that begin with ``run`` such tokens are sorted, up to the first that is none: no run is
+  lost. Counts of tokens are bounds from above, as rare ones are left out in each task by a
+  stated number that is added again.
 
 Exact copies of a page count as one page.
 """
@@ -24,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +60,10 @@ REPLIES = frozenset("comment comments respond disqus".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+#: Tokens of hosts that a task counts before it hands its counts on, so that its memory has a bound.
+HELD = 500_000
+MASK = (1 << 64) - 1
+
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: From a tag's name to its end, with signs in quotes passed over.
 REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
@@ -225,9 +236,9 @@ def shared_lengths(entries):
     yield from settle(0)
 
 
-def covered_blocks(blocks: list[tuple[str, str]], runs: list[tuple[int, int]], covered: float) -> list[bool]:
-    """For each open or suspect block, whether runs (first token, tokens) cover that share of it."""
-    n = sum(text.count(" ") + 1 for zone, text in blocks if zone in ("open", "suspect"))
+def covered_blocks(blocks: list[tuple[str, str]], runs: list[tuple[int, int]], covered: float, zones=("open", "suspect")) -> list[bool]:
+    """For each block of the zones, whether runs (first token, tokens) cover that share of it."""
+    n = sum(text.count(" ") + 1 for zone, text in blocks if zone in zones)
     step = [0] * (n + 1)
     for at, size in runs:
         step[at] += 1
@@ -238,7 +249,7 @@ def covered_blocks(blocks: list[tuple[str, str]], runs: list[tuple[int, int]], c
         total.append(total[-1] + (held > 0))
     out, at = [], 0
     for zone, text in blocks:
-        if zone in ("open", "suspect"):
+        if zone in zones:
             size = text.count(" ") + 1
             out.append(total[at + size] - total[at] >= covered * size)
             at += size
@@ -267,6 +278,135 @@ def _suffix_array(batches, run: int):
     yield table(keep)
 
 
+def run_lengths(head, run: int):
+    """Lengths at which a suffix of an article counts as a run; one that begins with a mark is a whole short block."""
+    return (len(head),) if head[0] == "" else range(run, len(head) + 1)
+
+
+def article_suffixes(text: str, known: set[str], run: int, depth: int):
+    """(first token, least length at which this page has not had it before, head) of the suffixes of an article that can count.
+
+    text: blocks, one a line. known: at least those tokens that stand on enough pages of the host.
+    """
+    if not known:
+        return
+    tokens = text.split()
+    flags = bytes(map(known.__contains__, tokens))
+    seen: set[tuple] = set()
+
+    def entry(at: int, head: tuple):
+        lengths = run_lengths(head, run)
+        fresh = next((n for n in lengths if head[:n] not in seen), len(head) + 1)
+        seen.update(head[:n] for n in lengths if n >= fresh)
+        return at, fresh, head
+
+    for m in re.finditer(rb"\x01{%d,}" % run, flags):
+        for at in range(m.start(), m.end() - run + 1):
+            yield entry(at, tuple(tokens[at : min(at + depth, m.end())]))
+    at = 0
+    for block in text.split("\n"):
+        size = block.count(" ") + 1
+        if size < run and all(flags[at : at + size]):
+            yield entry(at, ("", *tokens[at : at + size], ""))
+        at += size
+
+
+def common_runs(entries, run: int):
+    """(host, run) of the runs that enough pages have, from sorted suffixes (host, head, fresh, pages, pages asked for).
+
+    A run is a prefix that neighbours have in common; its pages are known when a neighbour comes
+    that does not have it. A page is counted once for each length, by its first suffix of it.
+    """
+    pages: dict[int, int] = {}
+    before, needed = None, 0
+
+    def closed(keep: int):
+        for n in [n for n in pages if n > keep]:
+            if pages.pop(n) >= needed:
+                yield before[0], before[1][:n]
+
+    for host, head, fresh, n, need in entries:
+        same = 0
+        if before is not None and before[0] == host:
+            for p, q in zip(head, before[1]):
+                if p != q:
+                    break
+                same += 1
+        yield from closed(same)
+        before, needed = (host, head), need
+        for size in run_lengths(head, run):
+            if fresh <= size:
+                pages[size] = pages.get(size, 0) + n
+    yield from closed(0)
+
+
+def _article_array(batches, run: int):
+    """Rows (host, run) of ``common_runs``."""
+    import pyarrow as pa
+
+    def rows():
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns))
+
+    found = common_runs(rows(), run)
+    while part := list(islice(found, 1000)):
+        hosts, runs = zip(*part)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(runs, pa.list_(pa.string()))], names=["host", "head"])
+
+
+def _token_counts(batches, share: float):
+    """Rows (host, key, pages over the slack, false) of tokens, and (host, key of no token, slack, true): a token that is left out is on so many pages at most."""
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest as hashed
+
+    count: dict[int, Counter] = {}
+    pages: Counter = Counter()
+    held = 0
+
+    def tables():
+        rows = []
+        for host, c in count.items():
+            c[""] = 2 * (slack := int(share * pages[host] / 2))
+            for w, n in c.items():
+                if n > slack or not w:
+                    key = hashed(w, host & MASK)
+                    rows.append((host, key - (1 << 64) if key >> 63 else key, n - slack, not w))
+        count.clear()
+        pages.clear()
+        for at in range(0, len(rows), 10_000):
+            cols = zip(zip(*rows[at : at + 10_000]), [pa.int64()] * 3 + [pa.bool_()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["host", "key", "n", "none"])
+
+    seen: set[tuple[int, int]] = set()
+    for b in batches:
+        for host, stream, text in zip(*(c.to_pylist() for c in b.columns)):
+            if (host, stream) in seen:
+                continue
+            seen.add((host, stream))
+            c = count.setdefault(host, Counter())
+            held -= len(c)
+            c.update(set(text.split()))
+            pages[host] += 1
+            held += len(c)
+            if held > HELD:
+                yield from tables()
+                held = 0
+    yield from tables()
+    released()
+
+
+def _bits(keys: DataFrame) -> bytes:
+    """A table of bits of the column key; it grows with the rows up to 8 MB, and fuller ones only let more through."""
+    import numpy as np
+
+    size = 1 << min(26, max(16, (16 * keys.count()).bit_length()))
+    at = F.col("key").bitwiseAND(size - 1)
+    words = keys.select(F.shiftright(at, 6).alias("at"), F.expr(f"shiftleft(1L, cast(key & {size - 1} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, "<i8")
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.tobytes()
+
+
 def extract(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
     *, run: int = 5, depth: int = 8, covered: float = 0.5, share: float = 0.5,
@@ -313,21 +453,43 @@ def extract(
                     cols = [pa.array([v.as_py()] * n, pa.int64()) for v in (host, row, stream)]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(starts, pa.int64()), pa.array(heads, pa.list_(pa.string()))], names=["host", "row", "stream", "i", "head"])
 
+    def article(batches, bits):
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest as hashed
+
+        mask = 8 * len(bits) - 1
+        kind = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.string())]
+
+        def rows():
+            for b in batches:
+                for host, row, stream, text in zip(*(c.to_pylist() for c in b.columns)):
+                    seed, tokens = host & MASK, {"", *text.split()}
+                    known = {w for w in tokens if bits[(k := hashed(w, seed) & mask) >> 3] >> (k & 7) & 1}
+                    if "" in known:
+                        known = tokens
+                    for i, fresh, head in article_suffixes(text, known, run, depth):
+                        yield host, row, stream, i, fresh, head
+
+        found = rows()
+        while part := list(islice(found, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kind)], names=["host", "row", "stream", "i", "fresh", "head"])
+        released()
+
     def compose(batches):
         import pyarrow as pa
 
         for b in batches:
             texts = []
-            for r in b.select(["has_main", "blocks", "runs", "lines", "n_pages"]).to_pylist():
+            for r in b.select(["has_main", "blocks", "runs", "inner", "n_pages"]).to_pylist():
                 blocks = [(x["zone"], x["text"]) for x in r["blocks"]]
                 gone = iter(covered_blocks(blocks, [(x["i"], x["n"]) for x in r["runs"] or []], covered))
-                lines = set(r["lines"] or [])
-                size = {t: t.count(" ") + 1 for z, t in blocks if z == "main"}
-                mine = [t for z, t in blocks if z == "main"]
-                if 2 * sum(size[t] for t in mine if t in lines) >= sum(size[t] for t in mine):
-                    lines = set()  # a copy of an article
+                lines = covered_blocks(blocks, [(x["i"], x["n"]) for x in r["inner"] or []], covered, ("main",))
+                size = [t.count(" ") + 1 for z, t in blocks if z == "main"]
+                if 2 * sum(n for n, x in zip(size, lines) if x) >= sum(size):
+                    lines = [False] * len(size)  # a copy of an article
+                lines = iter(lines)
                 alone = r["has_main"] and (r["n_pages"] or 1) < 2
-                kept = [t for z, t in blocks if (t not in lines if z == "main" else not (next(gone) or alone))]
+                kept = [t for z, t in blocks if not (next(lines) if z == "main" else next(gone) or alone)]
                 texts.append("\n\n".join(kept))
             yield pa.RecordBatch.from_arrays([*b.select(["page_id", "url"]).columns, pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -340,14 +502,27 @@ def extract(
     n = pages.count()
     cut = staged(picked.mapInArrow(read, schema), like(pages))
 
-    # Lines that a site sets into its articles: pages are counted by content, in two steps, so that copies are one and no line is hot.
+    # What a site sets into its articles: pages are counted by content, in two steps, so that copies are one and no run is hot.
     text = F.transform(F.filter("blocks", lambda x: x["zone"] == "main"), lambda x: x["text"])
-    lines = cut.where("has_main").select("row", "host", "stream", F.explode(F.array_distinct(F.transform(text, lambda t: F.xxhash64(t)))).alias("h"))
+    mains = cut.where("has_main").select("host", "row", "stream", F.array_join(text, "\n").alias("text"))
     count = lambda d, *keys: d.groupBy(*keys, "stream").agg(F.lit(1).alias("x")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hosts = staged(count(cut, "host"), n)
-    often = count(lines, "host", "h").where("n >= 3").join(hosts.withColumnRenamed("n", "n_pages"), "host").where(F.col("n") >= share * F.col("n_pages"))
-    often = staged(often.select("host", "h"), 60 * n)
-    flagged = staged(lines.join(maybe_broadcast(often), ["host", "h"], "left_semi").groupBy("row").agg(F.collect_list("h").alias("flagged")), n)
+    hosts = staged(count(cut, "host").withColumnRenamed("n", "n_pages"), n)
+    need = F.greatest(F.lit(3.0), share * F.col("n_pages"))
+    tokens = mains.select("host", "stream", "text").mapInArrow(lambda b: _token_counts(b, share), "host long, key long, n long, none boolean")
+    tokens = staged(tokens.groupBy("host", "key", "none").agg(F.sum("n").alias("n")), 60 * n)
+    slack = tokens.where("none").select("host", F.col("key").alias("none_key"), F.col("n").alias("slack"))
+    least = staged(hosts.where("n_pages >= 3").join(slack, "host").select("host", "none_key", (need - F.col("slack")).alias("least")), n)
+    often = tokens.where("not none").join(maybe_broadcast(least), "host").where("n >= least").select("key")
+    often = often.union(least.where("least <= 0").select("none_key"))  # copies in many tasks: all tokens of the host
+    bits = _bits(staged(often, 60 * n))
+    inner = staged(mains.mapInArrow(lambda b: article(b, bits), "host long, row long, stream long, i long, fresh int, head array<string>"))
+    array = count(inner, "host", "head", "fresh").join(maybe_broadcast(hosts), "host").select("host", "head", "fresh", "n", need.alias("need"))
+    dealt = array.repartition("host", F.slice("head", 1, run)).sortWithinPartitions("host", "head", "fresh")
+    common = staged(dealt.mapInArrow(lambda b: _article_array(b, run), "host long, head array<string>"))
+    sizes = F.when(F.col("head")[0] == "", F.array(F.size("head"))).otherwise(F.sequence(F.lit(run), F.size("head")))
+    begun = inner.select("host", "row", "i", "head", F.explode(sizes).alias("size")).withColumn("head", F.slice("head", F.lit(1), F.col("size")))
+    n_tokens = F.when(F.col("head")[0] == "", F.col("size") - 2).otherwise(F.col("size")).alias("n")
+    inner = staged(begun.join(maybe_broadcast(common), ["host", "head"]).groupBy("row").agg(F.collect_list(F.struct("i", n_tokens)).alias("inner")), n)
 
     every = cut.where("has_open").select("host", "row", "stream", "blocks").mapInArrow(suffixes, "host long, row long, stream long, i long, head array<string>")
     every = staged(every)
@@ -356,10 +531,9 @@ def extract(
     shared = staged(dealt.mapInArrow(lambda b: _suffix_array(b, run), "host long, head array<string>, n int"))
     runs = every.join(maybe_broadcast(shared), ["host", "head"]).groupBy("row").agg(F.collect_list(F.struct("i", "n")).alias("runs"))
 
-    asked = cut.where("has_open").join(flagged, "row", "left").unionByName(cut.where("not has_open").join(maybe_broadcast(flagged), "row"))
-    whole = F.transform(F.filter("blocks", lambda x: (x["zone"] == "main") & F.array_contains("flagged", F.xxhash64(x["text"]))), lambda x: x["text"])
-    wide = asked.withColumn("lines", whole).join(runs, "row", "left").join(maybe_broadcast(hosts.withColumnRenamed("n", "n_pages")), "host", "left")
-    judged = wide.select("page_id", "url", "has_main", "blocks", "runs", "lines", "n_pages").mapInArrow(compose, f"page_id {kind}, url string, text string")
-    plain = cut.where("not has_open").join(maybe_broadcast(flagged.select("row")), "row", "left_anti").select("page_id", "url", F.array_join(text, "\n\n").alias("text"))
+    asked = cut.where("has_open").join(inner, "row", "left").unionByName(cut.where("not has_open").join(maybe_broadcast(inner), "row"))
+    wide = asked.join(runs, "row", "left").join(maybe_broadcast(hosts), "host", "left")
+    judged = wide.select("page_id", "url", "has_main", "blocks", "runs", "inner", "n_pages").mapInArrow(compose, f"page_id {kind}, url string, text string")
+    plain = cut.where("not has_open").join(maybe_broadcast(inner.select("row")), "row", "left_anti").select("page_id", "url", F.array_join(text, "\n\n").alias("text"))
     done = judged.unionByName(plain)
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -495,6 +495,81 @@ def test_lines_of_a_site_leave_its_articles_and_copies_stay(spark):
     assert not any("readers" in got[i] for i in range(6)) and all(len(got[20 + i].split("\n\n")) == 2 for i in range(5))
 
 
+def test_runs_that_a_site_sets_into_its_articles_go_beside_other_words(spark):
+    line = "<p>{} asks you: join our readers and get news by mail</p>"  # never the same line
+    rows = [(i, "http://s.org/", f"<article><p>{prose(random.Random(i), 40)}</p>{line.format(f'editor{i}')}<p>share this</p></article>") for i in range(8)]
+    rows += [(20 + i, "http://t.org/", h) for i, (_, _, h) in enumerate(rows[:2])]  # two pages are no custom of a site
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [prose(random.Random(i), 40) for i in range(8)]
+    assert all(len(got[20 + i].split("\n\n")) == 3 for i in range(2))
+
+
+def brute_articles(pages, run=5, covered=0.5, share=0.5):
+    """Texts of pages that are articles alone, every run of each page looked for on every other one."""
+    cut = {i: [t for z, t in html.parse(h) if z == "main"] for i, _, h in pages}
+    host = {i: (u or "").split("/")[2] if "://" in (u or "") else "" for i, u, _ in pages}
+    out = {}
+    for i, blocks in cut.items():
+        others = {"\n".join(cut[j]) for j in cut if host[j] == host[i]}
+        enough = max(3, share * len(others))
+        has = lambda part, whole=False: sum(f"\n{part}\n" in f"\n{t}\n" if whole else f" {part} " in " " + t.replace("\n", " ") + " " for t in others) >= enough  # noqa: B023, E731
+        words = " ".join(blocks).split()
+        hit = [False] * len(words)
+        for k in range(len(words) - run + 1):
+            if has(" ".join(words[k : k + run])):
+                hit[k : k + run] = [True] * run
+        at, gone, size = 0, [], [len(t.split()) for t in blocks]
+        for t, m in zip(blocks, size):
+            gone.append(sum(hit[at : at + m]) >= covered * m or m < run and has(t, whole=True))
+            at += m
+        if 2 * sum(m for m, x in zip(size, gone) if x) >= sum(size):
+            gone = [False] * len(gone)
+        out[i] = "\n\n".join(t for t, x in zip(blocks, gone) if not x)
+    return out
+
+
+@pytest.mark.parametrize("depth", [5, 8])
+@pytest.mark.parametrize("parts", [1, 16])
+def test_article_runs_like_brute_force(spark, depth, parts):
+    """Common runs whole, in part, across blocks and of few words; common words without a run; copies in all tasks."""
+    rng = random.Random(33)
+    signs = ["share this", "by", "all rights of this site reserved for ever", "read our terms", "sign up and get the news of the day by mail"]
+    rows = []
+    for i in range(150):
+        body = [f"<p>{prose(rng, rng.randint(10, 30))} {' '.join(rng.sample(['of', 'the', 'and', 'this', 'our', 'day'], 4))}</p>" for _ in range(rng.randint(1, 3))]
+        for t in signs:
+            if rng.random() < 0.7:
+                w = t.split()
+                w = w[rng.choice([0, 0, 1]) :][: rng.choice([20, 6])]
+                own = prose(rng, rng.choice([0, 0, 2, 9])).split()
+                body.insert(rng.randint(0, len(body)), f"<p>{' '.join(own + w)}</p>" if w else "")
+        rows.append((i, rng.choice(["http://a.org/x", "http://a.org/y", "http://b.org", f"http://c{i % 9}.org/"]), f"<article>{''.join(body)}</article>"))
+    rows += [(1000 + 100 * i + k, "http://copies.org/", rows[i][2]) for i in range(12) for k in range(16)]
+    want = brute_articles(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    got = {r.page_id: r.text for r in html.extract(df, depth=depth).collect()}
+    assert got == want
+    whole = brute_articles(rows, share=99)
+    assert 20 < sum(want[i] != whole[i] for i in want) < len(want) - 20 and any(want[i] != whole[i] for i in want if i >= 1000)
+
+
+def test_a_run_that_every_task_sees_seldom_goes(spark):
+    """Copies of pages without it are in all tasks, so on each it stands on a quarter of the pages, of all on more than half."""
+    page = lambda i, more="": f"<article><p>{prose(random.Random(i), 40)}</p>{more}</article>"
+    rows = []
+    for part in range(4):
+        rows += [(10 * part + i, "http://s.org/", page(i)) for i in range(6)]
+        rows += [(10 * part + i, "http://s.org/", page(100 + 2 * part + i, "<p>join our readers and get news by mail</p>")) for i in (6, 7)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # a task for each file
+    try:
+        got = {r.page_id: r.text for r in html.extract(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 32 and all("\n\n" not in t and "readers" not in t for t in got.values())
+
+
 def test_words_of_a_class_do_not_take_an_article():
     assert html.parse('<article class="post no-sidebar"><p>real text</p></article>') == [("main", "real text")]
     assert html.parse('<div class="with-comments">real</div>') == [("suspect", "real")]
