@@ -395,6 +395,23 @@ def _token_counts(batches, share: float):
     released()
 
 
+def _merged(batches):
+    """Rows (row, runs) with runs that touch made one, so that a copy's are few."""
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for runs in b.column(1):
+            spans: list[dict] = []
+            for x in runs.as_py():
+                if spans and x["i"] <= (end := spans[-1]["i"] + spans[-1]["n"]):
+                    spans[-1]["n"] = max(end, x["i"] + x["n"]) - spans[-1]["i"]
+                else:
+                    spans.append(x)
+            out.append(spans)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, b.column(1).type)], names=["row", "inner"])
+
+
 def _bits(keys: DataFrame) -> bytes:
     """A table of bits of the column key; it grows with the rows up to 8 MB, and fuller ones only let more through."""
     import numpy as np
@@ -519,10 +536,13 @@ def extract(
     array = count(inner, "host", "head", "fresh").join(maybe_broadcast(hosts), "host").select("host", "head", "fresh", "n", need.alias("need"))
     dealt = array.repartition("host", F.slice("head", 1, run)).sortWithinPartitions("host", "head", "fresh")
     common = staged(dealt.mapInArrow(lambda b: _article_array(b, run), "host long, head array<string>"))
-    sizes = F.when(F.col("head")[0] == "", F.array(F.size("head"))).otherwise(F.sequence(F.lit(run), F.size("head")))
-    begun = inner.select("host", "row", "i", "head", F.explode(sizes).alias("size")).withColumn("head", F.slice("head", F.lit(1), F.col("size")))
-    n_tokens = F.when(F.col("head")[0] == "", F.col("size") - 2).otherwise(F.col("size")).alias("n")
-    inner = staged(begun.join(maybe_broadcast(common), ["host", "head"]).groupBy("row").agg(F.collect_list(F.struct("i", n_tokens)).alias("inner")), n)
+    # A longer run is covered by the shortest ones that begin in it.
+    size = F.when(F.col("head")[0] == "", F.size("head")).otherwise(F.lit(run))
+    begun = inner.select("host", "row", "i", F.slice("head", F.lit(1), size).alias("head"))
+    common = common.where(F.size("head") == size)
+    n_tokens = F.size("head") - F.when(F.col("head")[0] == "", 2).otherwise(0)
+    begun = begun.join(maybe_broadcast(common), ["host", "head"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", n_tokens.cast("long").alias("n")))).alias("inner"))
+    inner = staged(begun.mapInArrow(_merged, begun.schema), n)
 
     every = cut.where("has_open").select("host", "row", "stream", "blocks").mapInArrow(suffixes, "host long, row long, stream long, i long, head array<string>")
     every = staged(every)

@@ -553,6 +553,17 @@ def test_article_runs_like_brute_force(spark, depth, parts):
     assert 20 < sum(want[i] != whole[i] for i in want) < len(want) - 20 and any(want[i] != whole[i] for i in want if i >= 1000)
 
 
+def test_runs_of_a_copy_are_merged():
+    """Else a row of each copy holds all its suffixes, and a table of few rows is too large to broadcast."""
+    import pyarrow as pa
+
+    runs = [{"i": i, "n": 5} for i in range(3000)] + [{"i": 3010, "n": 2}]
+    kind = pa.list_(pa.struct([("i", pa.int64()), ("n", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8], pa.int64()), pa.array([runs, []], kind)], names=["row", "inner"])
+    (out,) = html._merged([batch])
+    assert out.to_pylist() == [{"row": 7, "inner": [{"i": 0, "n": 3004}, {"i": 3010, "n": 2}]}, {"row": 8, "inner": []}]
+
+
 def test_a_run_that_every_task_sees_seldom_goes(spark):
     """Copies of pages without it are in all tasks, so on each it stands on a quarter of the pages, of all on more than half."""
     page = lambda i, more="": f"<article><p>{prose(random.Random(i), 40)}</p>{more}</article>"
